@@ -48,8 +48,8 @@ def held_out(doc_id) -> object:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def map_texts(df: DataFrame, keep: list[str], text: str, make: Callable[[], Callable[[str], tuple]], schema: str) -> DataFrame:
-    """The columns ``keep`` and, as further columns of ``schema``, what make() returns for each text; null texts are empty.
+def map_texts(df: DataFrame, keep: list[str], text: str, make: Callable[[], Callable[[list[str]], list[tuple]]], schema: str) -> DataFrame:
+    """The columns ``keep`` and, as further columns of ``schema``, what make() gives for the texts of a batch; null texts are empty.
 
     make is called once in each task, on the executor. It needs no shuffle: each row is handled where it is read.
     """
@@ -65,7 +65,7 @@ def map_texts(df: DataFrame, keep: list[str], text: str, make: Callable[[], Call
 
         own, f = to_arrow_schema(target), make()
         for batch in batches:
-            rows = [f(x) for x in batch.column(len(keep)).to_pylist()]
+            rows = f(batch.column(len(keep)).to_pylist())
             columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
             made = [pa.array(c, own.field(i).type) for i, c in enumerate(columns)]
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(keep))], *made], names=[*keep, *names])

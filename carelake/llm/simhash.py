@@ -199,7 +199,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     An empty table gives an empty result.
     """
     plain = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    rows = staged(map_texts(plain, ["doc_id"], "text", lambda: lambda x: (_signed(fingerprint(x, words)),), "fp long"), "prints")
+    rows = staged(map_texts(plain, ["doc_id"], "text", lambda: lambda texts: [(_signed(fingerprint(x, words)),) for x in texts], "fp long"), "prints")
     prints = staged(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     linked = components(print_links(prints, max_bits, members)).withColumnRenamed("vertex", "fp")
     rooted = staged(prints.join(linked, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
