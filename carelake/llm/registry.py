@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, simhash
+from . import bpe, packing, quality_model, simhash
 from .common import table
 
 
@@ -29,8 +29,12 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), word_vocabulary())
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op2_bpe": op2_bpe, "op10_simhash": op10_simhash}
+    return {"op1_packing": op1_packing, "op2_bpe": op2_bpe, "op7_quality_classifier": op7_quality_classifier, "op10_simhash": op10_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
