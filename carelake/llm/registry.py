@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, quality_model, simhash, toxicity
+from . import bpe, packing, pii, quality_model, simhash, toxicity
 from .common import table
 
 
@@ -37,8 +37,12 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op2_bpe": op2_bpe, "op7_quality_classifier": op7_quality_classifier, "op9_toxicity": op9_toxicity, "op10_simhash": op10_simhash}
+    return {"op1_packing": op1_packing, "op2_bpe": op2_bpe, "op5_pii": op5_pii, "op7_quality_classifier": op7_quality_classifier, "op9_toxicity": op9_toxicity, "op10_simhash": op10_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
