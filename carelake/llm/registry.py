@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, pii, quality_model, quality_rules, simhash, toxicity, warc
+from . import bpe, license_scan, media, packing, pii, quality_model, quality_rules, simhash, toxicity, warc
 from .common import table
 
 
@@ -68,9 +68,17 @@ FROM numbered
 """
 
 
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.store_and_read(table(spark, sf_dir, "documents"))
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op2_bpe": op2_bpe, "op4_warc": op4_warc, "op5_pii": op5_pii, "op7_quality_classifier": op7_quality_classifier, "op8_quality_rules": op8_quality_rules, "op9_toxicity": op9_toxicity, "op10_simhash": op10_simhash}
+    return {"op1_packing": op1_packing, "op2_bpe": op2_bpe, "op3_license_scan": op3_license_scan, "op4_warc": op4_warc, "op5_pii": op5_pii, "op6_media": op6_media, "op7_quality_classifier": op7_quality_classifier, "op8_quality_rules": op8_quality_rules, "op9_toxicity": op9_toxicity, "op10_simhash": op10_simhash}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": OP4_SQL}
+    return {"op3_license_scan": license_scan.oracle(), "op4_warc": OP4_SQL}
