@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import claims, codes, events, linkage, messages  # noqa: F401  they register their queries
+from .register import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
