@@ -23,9 +23,11 @@ from .common import map_texts
 
 NONE = np.iinfo(np.int32).max - 1
 #: Entries of each table, characters of a text handled at once, characters up to which words and chunks are kept.
-TABLE, SLICE, KEPT = 200_000, 1 << 20, 64
+TABLE, SLICE, KEPT = 400_000, 1 << 20, 64
+#: More than the highest letter that stands for a byte.
+LETTERS = 512
 #: Characters up to here have the same properties in all Unicode versions and no compositions; the library itself normalises others.
-PLAIN = "ɏ"
+BEYOND = re.compile("[^\x00-\u024f]")
 #: Python counts these as white space, the vocabulary's normaliser doesn't.
 SEPARATORS = re.compile("[\x1c-\x1f]")
 SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
@@ -38,6 +40,41 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in set(own) else chr(256 + other.index(b)) for b in range(256)]
 
 
+class PairTable:
+    """Values of pairs of small numbers, for arrays: two hash tables, of which the second holds what clashes in the first."""
+
+    BITS = 20
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        draw = np.random.default_rng(1)
+        self.tables = []
+        while len(keys):
+            best = None
+            for factor in draw.integers(1 << 40, 1 << 62, 8, dtype=np.uint64) | np.uint64(1):
+                place = self.place(keys, factor)
+                first = np.unique(place, return_index=True)[1]
+                if best is None or len(first) > len(best[1]):
+                    best = factor, first, place
+            factor, first, place = best
+            own, held = np.full(1 << self.BITS, -1, np.int64), np.full(1 << self.BITS, NONE, np.int32)
+            own[place[first]], held[place[first]] = keys[first], values[first]
+            self.tables.append((factor, own, held))
+            rest = np.ones(len(keys), bool)
+            rest[first] = False
+            keys, values = keys[rest], values[rest]
+
+    def place(self, keys: np.ndarray, factor: np.uint64) -> np.ndarray:
+        return (keys.astype(np.uint64) * factor) >> np.uint64(64 - self.BITS)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        """The values of keys, NONE where there is none."""
+        out = np.full(len(keys), NONE, np.int64)
+        for factor, own, held in self.tables:
+            at = self.place(keys, factor)
+            np.copyto(out, held[at], where=own[at] == keys)
+        return out
+
+
 class Vocabulary:
     """Tokens, merges and special strings of a vocabulary file, with the merges as arrays."""
 
@@ -52,6 +89,7 @@ class Vocabulary:
         self.pattern = regex.compile(data["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.special_pattern = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.letters = byte_letters()
+        self.byte_map = {b: x for b, x in enumerate(self.letters) if chr(b) != x}
         self.left, self.right, self.rank = (np.full(self.size, -1, np.int64) for _ in range(3))
         self.merges: dict[int, int] = {}
         for k, pair in enumerate(model["merges"]):
@@ -59,9 +97,8 @@ class Vocabulary:
             x, y, z = self.ids[a], self.ids[b], self.ids[a + b]
             self.merges[x * self.size + y] = k << 32 | z
             self.left[z], self.right[z], self.rank[z] = x, y, k
-        keys = np.array([*self.merges], np.int64)
-        order = keys.argsort()
-        self.keys, self.key_ranks = keys[order], order.astype(np.int64)
+        self.ranks = PairTable(np.array([*self.merges], np.int64), np.arange(len(self.merges)))
+        self.made = np.array([m & 0xFFFFFFFF for m in self.merges.values()], np.int64)
         made = np.nonzero(self.rank >= 0)[0]
         lost = set(made[~self.compatible(self.left[made], self.right[made], self.rank[made])].tolist())
         self.tree: dict = {}
@@ -72,11 +109,10 @@ class Vocabulary:
                 for c in token.removesuffix(self.end) if last else token:
                     node = node.setdefault(c, {})
                 node[self.end if last else ""] = i
+        self._number_tree()
 
     def pair_ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        key = a * self.size + b
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.key_ranks[at], NONE)
+        return self.ranks(a * self.size + b)
 
     def compatible(self, a: np.ndarray, b: np.ndarray, limit: np.ndarray | None = None) -> np.ndarray:
         """Whether the merges of a's text followed by b's text leave exactly a and b until the merge of rank limit.
@@ -98,39 +134,83 @@ class Vocabulary:
             a, b = np.where(right, a, self.right[a]), np.where(right, self.left[b], b)
         return good
 
-    def propose(self, word: str) -> list[int]:
-        """Greedy longest match down the tree of tokens; the last token alone carries the word's end."""
-        out, at, n, tree, end = [], 0, len(word), self.tree, self.end
-        while at < n:
-            node, best, k = tree, None, at
-            while k < n and (node := node.get(word[k])) is not None:
-                k += 1
-                if k == n:
-                    token = node.get(end)
-                    if token is not None:
-                        best, to = token, n
-                elif (token := node.get("")) is not None:
-                    best, to = token, k
-            out.append(best)
-            at = to
-        return out
-
-    def merge(self, word: str) -> list[int]:
-        """The merges themselves, lowest rank and leftmost first; a merge is rank and result in one number."""
-        ids = [self.ids[c] for c in word[:-1]] + [self.ids[word[-1] + self.end]]
-        if len(ids) > KEPT:
-            return self.merge_long(ids)
-        get, size = self.merges.get, self.size
-        ranks = [get(x * size + y, NONE << 32) for x, y in zip(ids, ids[1:], strict=False)]
-        while ranks and (low := min(ranks)) < NONE << 32:
-            i = ranks.index(low)
-            ids[i] = low & 0xFFFFFFFF
-            del ids[i + 1], ranks[i]
-            if i:
-                ranks[i - 1] = get(ids[i - 1] * size + ids[i], NONE << 32)
-            if i < len(ranks):
-                ranks[i] = get(ids[i] * size + ids[i + 1], NONE << 32)
-        return ids
+    def _number_tree(self) -> None:
+        """The tree as arrays: edges by node and letter, and each node's token inside a word and at its end."""
+        nodes, edges, inside, last = [self.tree], [], [], []
+        for k, node in enumerate(nodes):
+            inside.append(node.get("", -1))
+            last.append(node.get(self.end, -1) if self.end else -1)
+            for c, child in node.items():
+                if isinstance(child, dict):
+                    edges.append((k * LETTERS + ord(c), len(nodes)))
+                    nodes.append(child)
+        self.inside, self.last = np.array(inside), np.array(last if self.end else inside)
+        self.edges = PairTable(np.array([e for e, _ in edges], np.int64), np.array([n for _, n in edges]))
+        own, end = np.zeros(LETTERS, np.int64), np.zeros(LETTERS, np.int64)
+        for c in self.letters:
+            own[ord(c)], end[ord(c)] = self.ids[c], self.ids[c + self.end]
+        self.letter_ids, self.end_ids = own, end
+        del self.tree
+
+    def propose(self, letters: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Greedy longest match in all words at once: (word, token) in order. The last token alone carries the word's end."""
+        word, at, end = np.arange(len(starts)), starts.copy(), ends
+        node, cursor = np.zeros(len(word), np.int64), at.copy()
+        best, to = np.full(len(word), -1), at.copy()
+        words, tokens = [], []
+        while len(word):
+            child = np.full(len(word), NONE, np.int64)
+            on = cursor < end
+            child[on] = self.edges(node[on] * LETTERS + letters[cursor[on]])
+            alive = child < NONE
+            node = np.where(alive, child, 0)
+            cursor = cursor + alive
+            token = np.where(alive, np.where(cursor == end, self.last[node], self.inside[node]), -1)
+            better = token >= 0
+            best, to = np.where(better, token, best), np.where(better, cursor, to)
+            stop = np.nonzero(~alive)[0]
+            if len(stop):
+                words.append(word[stop])
+                tokens.append(best[stop])
+                at[stop] = cursor[stop] = to[stop]
+                best[stop] = -1
+                go = at < end
+                if not go.all():
+                    word, at, end, node, cursor, best, to = (x[go] for x in (word, at, end, node, cursor, best, to))
+        words, tokens = np.concatenate(words), np.concatenate(tokens)
+        order = words.argsort(kind="stable")
+        return words[order], tokens[order]
+
+    def merge_all(self, ids: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The merges themselves, in all words at once: each round makes every word's merge of lowest rank, leftmost first."""
+        rank = np.full(len(ids), NONE, np.int64)
+        inner = np.nonzero(owner[1:] == owner[:-1])[0]
+        rank[inner] = self.pair_ranks(ids[inner], ids[inner + 1])
+        done = []
+        while len(ids):
+            begins = np.concatenate([[True], owner[1:] != owner[:-1]])
+            low = np.minimum.reduceat(rank, np.nonzero(begins)[0])[begins.cumsum() - 1]
+            on = low < NONE
+            if not on.all():
+                done.append((owner[~on], ids[~on]))
+                ids, owner, rank, low = ids[on], owner[on], rank[on], low[on]
+                if not len(ids):
+                    break
+            hit = np.nonzero(rank == low)[0]
+            hit = hit[np.concatenate([[True], owner[hit[1:]] != owner[hit[:-1]]])]
+            ids[hit] = self.made[rank[hit]]
+            stay = np.ones(len(ids), bool)
+            stay[hit + 1] = False
+            hit = hit - np.arange(len(hit))
+            ids, owner, rank = ids[stay], owner[stay], rank[stay]
+            changed = np.concatenate([hit, hit[hit > 0] - 1])
+            rank[changed] = NONE
+            changed = changed[changed + 1 < len(ids)]
+            changed = changed[owner[changed] == owner[changed + 1]]
+            rank[changed] = self.pair_ranks(ids[changed], ids[changed + 1])
+        owner, ids = (np.concatenate(x) for x in zip(*done, strict=True)) if done else (owner, ids)
+        order = owner.argsort(kind="stable")
+        return owner[order], ids[order]
 
     def merge_long(self, ids: list[int]) -> list[int]:
         """The same with a queue over a linked list, for words of any length."""
@@ -154,13 +234,26 @@ class Vocabulary:
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
         """Token ids of words in byte letters: proposals, one test of all their pairs, merges for those that fail."""
-        out = [self.propose(w) for w in words]
-        flat = np.fromiter((t for x in out for t in x), np.int64)
-        owner = np.repeat(np.arange(len(out)), [len(x) for x in out])
+        letters = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int64)
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        ends = sizes.cumsum()
+        owner, tokens = self.propose(letters, ends - sizes, ends)
         inner = np.nonzero(owner[1:] == owner[:-1])[0]
-        failed = owner[inner[~self.compatible(flat[inner], flat[inner + 1])]]
-        for k in np.unique(failed).tolist():
-            out[k] = self.merge(words[k])
+        failed = np.zeros(len(words), bool)
+        failed[owner[inner[~self.compatible(tokens[inner], tokens[inner + 1])]]] = True
+        base = self.letter_ids[letters]
+        base[ends - 1] = self.end_ids[letters[ends - 1]]
+        long = np.nonzero(failed & (sizes > KEPT))[0]
+        failed[long] = False
+        again = np.repeat(failed, sizes)
+        new_owner, new = self.merge_all(base[again], np.repeat(np.arange(len(words)), sizes)[again])
+        keep = ~failed[owner]
+        owner, tokens = np.concatenate([owner[keep], new_owner]), np.concatenate([tokens[keep], new])
+        flat = tokens[owner.argsort(kind="stable")].tolist()
+        bounds = [0, *np.bincount(owner, minlength=len(words)).cumsum().tolist()]
+        out = [flat[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+        for k in long.tolist():
+            out[k] = self.merge_long(base[ends[k] - sizes[k] : ends[k]].tolist())
         return out
 
     @property
@@ -175,18 +268,15 @@ class Vocabulary:
         if self.special_pattern and "<" in chunk and self.special_pattern.search(chunk):
             parts = [x for x in self.special_pattern.split(chunk) if x]
             return [y for x in parts for y in ([self.special[x]] if x in self.special else self.split_chunk(x))]
-        if chunk.isascii():
-            return [w.translate(self._ascii) for w in self.pattern.findall(chunk.lower())]
-        if max(chunk) <= PLAIN:
-            words = self.pattern.findall("".join([c.lower() for c in chunk]))
-            return ["".join([self.letters[b] for b in w.encode()]) for w in words]
+        body, tail = (chunk, []) if chunk[-1] not in ",." else (chunk[:-1], [chunk[-1]])
+        low = body.lower()
+        words = [low, *tail] if low.isalpha() else None  # letters alone are one word
+        if chunk.isascii() and chunk.isprintable():
+            return words or self.pattern.findall(chunk.lower())
+        if not BEYOND.search(chunk):
+            return [w.encode().decode("latin-1").translate(self.byte_map) for w in words or self.pattern.findall(chunk.lower())]
         return [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(chunk))]
 
-    @property
-    @lru_cache  # noqa: B019
-    def _ascii(self) -> dict[int, str]:
-        return {b: x for b, x in enumerate(self.letters[:128]) if chr(b) != x}
-
 
 @lru_cache(maxsize=4)
 def vocabulary(path: str) -> Vocabulary:
@@ -229,22 +319,23 @@ class Table(dict):
 class Encoder:
     """Values of texts' chunks in order; render makes a chunk's value of its token ids."""
 
-    def __init__(self, vocab: Vocabulary, render: Callable[[list[int]], object]):
-        self.vocab, self.render, self.chunks, self.words = vocab, render, Table(), Table()
+    def __init__(self, vocab: Vocabulary, render: Callable[[list[int]], object], size: int = TABLE):
+        self.vocab, self.render, self.chunks, self.words = vocab, render, Table(size), Table(size // 4)
 
     def learn(self, chunks: set[str]) -> dict[str, object]:
         """Values of chunks; their short words are kept."""
-        split = {c: self.vocab.split_chunk(c) for c in chunks}
-        new = list(self.words.missing({w for x in split.values() for w in x if w.__class__ is str}))
-        found = dict(zip(new, self.vocab.encode_words(new), strict=True)) if new else {}
+        order = list(chunks)
+        split = list(map(self.vocab.split_chunk, order))
         words, render = self.words, self.render
-        words.update(found)
-        out = {c: render(words[x[0]] if len(x) == 1 and x[0].__class__ is str else [t for w in x for t in ([w] if isinstance(w, int) else words[w])]) for c, x in split.items()}
-        for w in found:
+        new = list(words.missing({w for x in split for w in x if w.__class__ is str}))
+        if new:
+            words.update(zip(new, self.vocab.encode_words(new), strict=True))
+        out = [render(words[x[0]] if len(x) == 1 and x[0].__class__ is str else [t for w in x for t in ([w] if w.__class__ is int else words[w])]) for x in split]
+        for w in new:
             if len(w) > KEPT:
                 del words[w]
         words.trim()
-        return out
+        return dict(zip(order, out, strict=True))
 
     def values(self, texts: Iterable[str]) -> Iterator[tuple[int, list]]:
         """(number of the text, values of the chunks of a slice of it) in order; texts without chunks don't appear."""
@@ -260,11 +351,14 @@ class Encoder:
 
     def _render(self, group: list[tuple[int, list[str]]]) -> Iterator[tuple[int, list]]:
         table = self.chunks
-        new = self.learn(table.missing(set().union(*[x for _, x in group])))
+        get = table.get
+        found = [list(map(get, x)) for _, x in group]
+        absent = {c for (_, x), own in zip(group, found, strict=True) if None in own for c, v in zip(x, own, strict=True) if v is None}
+        new = self.learn(table.missing(absent))
         table.update(new)
-        for k, x in group:
+        for (k, x), own in zip(group, found, strict=True):
             if x:
-                yield k, [table[c] for c in x]
+                yield k, [get(c) if v is None else v for c, v in zip(x, own, strict=True)] if None in own else own
         for c in new:
             if len(c) > KEPT:
                 del table[c]
