@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import claims, codes, events, linkage, messages  # noqa: F401  they register their queries
+from . import claims, codes, events, linkage, messages, streams  # noqa: F401  they register their queries
 from .register import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
