@@ -87,7 +87,7 @@ def rules() -> list[tuple[str, str]]:
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A line that goes on in lower case belongs to the sentence before; sentences end at marks before white space and at other line ends.
-WRAPPED, ENDS = "([^\\n.!?:;])\\n([a-z])", "[.!?;:]+[ \\t\\r\\n]+|\\n+"
+WRAPPED, ENDS = "([^\\n.!?:;])\\n([a-z])", "[.!?]+[ \\t\\r\\n]+|\\n+"
 
 
 def _sequence(text: Column) -> Column:
@@ -134,8 +134,8 @@ def oracle() -> str:
     return f"""
 WITH known(sentence, id) AS (VALUES {known}),
 pieces AS (
-  SELECT rowid_ AS rid, doc_id, unnest(regexp_split_to_array(regexp_replace(text, '([^\\n.!?:;])\\n([a-z])', '\\1 \\2', 'g'), '[.!?;:]+[ \\t\\r\\n]+|\\n+')) AS s,
-    generate_subscripts(regexp_split_to_array(regexp_replace(text, '([^\\n.!?:;])\\n([a-z])', '\\1 \\2', 'g'), '[.!?;:]+[ \\t\\r\\n]+|\\n+'), 1) AS pos
+  SELECT rowid_ AS rid, doc_id, unnest(regexp_split_to_array(regexp_replace(text, '([^\\n.!?:;])\\n([a-z])', '\\1 \\2', 'g'), '[.!?]+[ \\t\\r\\n]+|\\n+')) AS s,
+    generate_subscripts(regexp_split_to_array(regexp_replace(text, '([^\\n.!?:;])\\n([a-z])', '\\1 \\2', 'g'), '[.!?]+[ \\t\\r\\n]+|\\n+'), 1) AS pos
   FROM (SELECT row_number() OVER () AS rowid_, doc_id, coalesce(text, '') AS text FROM documents)),
 normal AS (SELECT rid, doc_id, pos, trim(regexp_replace(translate(s, '{UPPER}', '{LOWER}'), '[^a-z0-9]+', ' ', 'g')) AS s FROM pieces),
 named AS (SELECT rid, doc_id, string_agg(coalesce(id, '-'), '|' ORDER BY pos) FILTER (WHERE s <> '') AS ids FROM normal LEFT JOIN known ON s = sentence GROUP BY rid, doc_id),
