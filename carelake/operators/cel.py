@@ -117,7 +117,9 @@ class Parser:
                     raise CelError("only fields have constant indices")
                 left = Node("path", [*left.value, index.value])
                 continue
-            name = self.take()[1]
+            kind, name = self.take()
+            if kind != "name":
+                raise CelError(f"a name expected after the point, not {name!r}")
             if self.peek() == "(":
                 self.take()
                 left = Node("call", name, [left, *self.arguments(")")])
