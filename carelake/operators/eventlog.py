@@ -86,6 +86,12 @@ def statistics(log: DataFrame) -> DataFrame:
     return own.groupingSets(sets, F.col("event_type"), F.col("source"), F.col("hour")).agg(F.grouping_id().alias("grouping"), F.count("*").alias("events"))
 
 
+def counts_by(log: DataFrame, *columns: str) -> DataFrame:
+    """Counts by event_type, source or hour, whichever are asked for: one grouping, combined before its shuffle."""
+    of = {"event_type": F.col("event_type"), "source": F.coalesce(F.nullif("source", F.lit("")), F.lit("unknown")), "hour": F.date_trunc("hour", "ts")}
+    return log.groupBy(*[of[c].alias(c) for c in columns]).agg(F.count("*").alias("events"))
+
+
 def stream_stats(log: DataFrame) -> DataFrame:
     return log.agg(F.count("*").alias("events"), F.countDistinct("stream_id").alias("streams"), F.coalesce(F.max("position"), F.lit(-1)).cast("long").alias("last_position"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 

@@ -70,6 +70,6 @@ def cas_adjustments(spark, sf_dir):
     return rows.select(F.col("l_orderkey").alias("claim"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"), F.size(claims.adjustments(F.col("segment"))).cast("long").alias("adjustments"), F.round(claims.patient_share(F.col("segment")), 2).alias("patient"))
 
 
-@query("""SELECT o_custkey AS provider, count(*) AS claims, round(avg(o_totalprice), 2) AS mean_charge, CAST(count(*) FILTER (WHERE o_orderstatus = 'F') AS BIGINT) AS paid FROM orders GROUP BY 1""")
+@query("""SELECT o_custkey AS provider, count(*) AS claims, CAST(sum(CAST(o_totalprice AS DECIMAL(12, 2))) AS DOUBLE) AS charged, CAST(count(*) FILTER (WHERE o_orderstatus = 'F') AS BIGINT) AS paid FROM orders GROUP BY 1""")
 def claims_by_provider(spark, sf_dir):
-    return table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("provider")).agg(F.count("*").alias("claims"), F.round(F.avg("o_totalprice"), 2).alias("mean_charge"), F.count_if(F.col("o_orderstatus") == "F").alias("paid"))
+    return table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("provider")).agg(F.count("*").alias("claims"), F.sum(F.col("o_totalprice").cast("decimal(12,2)")).cast("double").alias("charged"), F.count_if(F.col("o_orderstatus") == "F").alias("paid"))

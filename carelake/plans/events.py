@@ -21,28 +21,30 @@ def log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("event_id").alias("position"), F.concat(F.lit("user:"), "user_id").alias("stream_id"), "event_type", source.alias("source"), F.col("props").alias("data"), "value", "user_id", "ts")
 
 
-def _statistics(spark: SparkSession, sf_dir: str, grouping: int) -> DataFrame:
-    return eventlog.statistics(log(spark, sf_dir)).where(F.col("grouping") == grouping)
-
-
 @query(f"WITH {LOG} SELECT event_type, count(*) AS events FROM log GROUP BY event_type")
 def event_statistics_by_type(spark, sf_dir):
-    return _statistics(spark, sf_dir, 0b011).select("event_type", "events")
+    return eventlog.counts_by(log(spark, sf_dir), "event_type")
 
 
 @query(f"WITH {LOG} SELECT coalesce(nullif(source, ''), 'unknown') AS source, count(*) AS events FROM log GROUP BY 1")
 def event_statistics_by_source(spark, sf_dir):
-    return _statistics(spark, sf_dir, 0b101).select("source", "events")
+    return eventlog.counts_by(log(spark, sf_dir), "source")
 
 
 @query(f"WITH {LOG} SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS hour, count(*) AS events FROM log GROUP BY 1")
 def event_statistics_by_hour(spark, sf_dir):
-    return _statistics(spark, sf_dir, 0b110).select("hour", "events")
+    return eventlog.counts_by(log(spark, sf_dir), "hour")
 
 
 @query(f"WITH {LOG} SELECT event_type, coalesce(nullif(source, ''), 'unknown') AS source, count(*) AS events FROM log GROUP BY 1, 2")
 def event_statistics_by_type_source(spark, sf_dir):
-    return _statistics(spark, sf_dir, 0b001).select("event_type", "source", "events")
+    return eventlog.counts_by(log(spark, sf_dir), "event_type", "source")
+
+
+@query(f"""WITH {LOG}, own AS (SELECT event_type, coalesce(nullif(source, ''), 'unknown') AS source, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS hour FROM log)
+SELECT event_type, source, hour, CAST(GROUPING_ID(event_type, source, hour) AS BIGINT) AS grouping, count(*) AS events FROM own GROUP BY GROUPING SETS ((), (event_type), (source), (hour), (event_type, source))""")
+def event_statistics(spark, sf_dir):
+    return eventlog.statistics(log(spark, sf_dir))
 
 
 @query(f"WITH {LOG} SELECT event_type, count(*) AS events FROM log GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3")

@@ -1,13 +1,14 @@
 """Each query against its SQL on the smallest tables."""
 
 import math
+import os
 
 import duckdb
 import pytest
 
 from carelake.plans import catalog
 
-DATA = "/root/testdata/sf0.001"
+DATA = os.environ.get("ORACLE_DATA", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
