@@ -118,6 +118,52 @@ def care_plan(*a: Column) -> Column:
     return simple("CarePlan", "careplan", *a, "active", "category", "subject", "created")
 
 
+def _member(kind: str, profile: str, key: Column, **fields: Column) -> Column:
+    return F.struct(F.lit(kind).alias("resourceType"), key.cast("string").alias("id"), _profile(profile), *[v.alias(k) for k, v in fields.items()])
+
+
+def _number(value: Column, number_system: str) -> Column:
+    return F.when(value.isNotNull(), F.array(F.struct(F.lit(number_system).alias("system"), value.alias("value"))))
+
+
+NPI = "http://hl7.org/fhir/sid/us-npi"
+
+
+def organization(key: Column, name: Column, npi: Column) -> Column:
+    return _member("Organization", "organization", key, identifier=_number(npi, NPI), active=F.lit(True), name=name)
+
+
+def practitioner(key: Column, family: Column, given: Column, npi: Column) -> Column:
+    return _member("Practitioner", "practitioner", key, identifier=_number(npi, NPI), name=F.array(F.struct(family.alias("family"), F.when(given.isNotNull(), F.array(given)).alias("given"))))
+
+
+def practitioner_role(key: Column, practitioner_key: Column, organization_key: Column, code: Column, display: Column) -> Column:
+    return _member("PractitionerRole", "practitionerrole", key, practitioner=reference("Practitioner", practitioner_key), organization=reference("Organization", organization_key), code=F.array(concept(code, display, F.lit("http://nucc.org/provider-taxonomy"))))
+
+
+def location(key: Column, name: Column, organization_key: Column) -> Column:
+    return _member("Location", "location", key, status=F.lit("active"), name=name, managingOrganization=reference("Organization", organization_key))
+
+
+def related_person(key: Column, patient_key: Column, family: Column, given: Column, relation: Column) -> Column:
+    return _member("RelatedPerson", "relatedperson", key, active=F.lit(True), patient=reference("Patient", patient_key), relationship=F.when(relation.isNotNull(), F.array(F.struct(relation.alias("text")))), name=F.array(F.struct(family.alias("family"), F.when(given.isNotNull(), F.array(given)).alias("given"))))
+
+
+def care_team(key: Column, patient_key: Column, members: Column) -> Column:
+    """members: array of structs of practitioner and role."""
+    own = F.transform(members, lambda m: F.struct(F.array(F.struct(m["role"].alias("text"))).alias("role"), F.struct(F.concat(F.lit("Practitioner/"), m["practitioner"].cast("string")).alias("reference")).alias("member")))
+    return _member("CareTeam", "careteam", key, status=F.lit("active"), subject=reference("Patient", patient_key), participant=own)
+
+
+def provenance(key: Column, target: Column, recorded: Column, agent_key: Column) -> Column:
+    """target: reference text such as Patient/1."""
+    return _member("Provenance", "provenance", key, target=F.array(F.struct(target.alias("reference"))), recorded=time_text(recorded), agent=F.array(F.struct(reference("Organization", agent_key).alias("who"))))
+
+
+def coverage(key: Column, patient_key: Column, payer: Column, member_id: Column, active: Column) -> Column:
+    return _member("Coverage", "coverage", key, status=F.when(active, "active").otherwise("cancelled"), subscriberId=member_id, beneficiary=reference("Patient", patient_key), payor=F.array(F.struct(payer.alias("display"))))
+
+
 def claim(key: Column, patient_key: Column, total: Column, created: Column, lines: Column, line: str = "number", procedure_code: str = "procedure", charge: str = "charge") -> Column:
     """Claim with its items from an array of line structs; money is in dollars."""
     money = lambda x: F.struct(x.alias("value"), F.lit("USD").alias("currency"))

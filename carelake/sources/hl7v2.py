@@ -147,3 +147,69 @@ def profile(messages: DataFrame, raw: str = "raw") -> DataFrame:
     n = parsed.agg(F.count("*").alias("messages"))
     held = parsed.select(F.explode(F.array_distinct(F.transform("segments", lambda s: s[0]))).alias("segment")).groupBy("segment").agg(F.count("*").alias("present_in"))
     return held.crossJoin(F.broadcast(n)).select("segment", "present_in", (F.col("present_in") == F.col("messages")).alias("in_all"))
+
+
+def immunization() -> Column:
+    """Vaccine of a VXU message: RXA's times, code, amount, lot and status."""
+    rxa = first("RXA")
+    code = field(rxa, 5)
+    return F.when(rxa.isNotNull(), F.struct(component(code, 0).alias("code"), component(code, 1).alias("name"), component(code, 2).alias("system"), dates.hl7_timestamp(field(rxa, 3)).alias("given"), field(rxa, 6).try_cast("double").alias("amount"), component(field(rxa, 7), 0).alias("unit"), field(rxa, 15).alias("lot"), field(rxa, 20).alias("status")))
+
+
+def medication_order() -> Column:
+    """Order of an RDE message: RXE's code, amounts and dosage form, ORC's number and control code."""
+    rxe, orc = first("RXE"), first("ORC")
+    code = field(rxe, 2)
+    return F.when(rxe.isNotNull(), F.struct(component(code, 0).alias("code"), component(code, 1).alias("name"), component(code, 2).alias("system"), field(rxe, 3).try_cast("double").alias("least"), field(rxe, 4).try_cast("double").alias("most"), component(field(rxe, 5), 0).alias("unit"), component(field(rxe, 6), 0).alias("form"), component(field(orc, 2), 0).alias("order_number"), field(orc, 1).alias("control")))
+
+
+def diagnoses() -> Column:
+    """DG1 segments: code, text, system, time and type."""
+    return F.transform(of_type("DG1"), lambda s: F.struct(component(field(s, 3), 0).alias("code"), component(field(s, 3), 1).alias("text"), component(field(s, 3), 2).alias("system"), dates.hl7_timestamp(field(s, 5)).alias("at"), field(s, 6).alias("type")))
+
+
+def insurance() -> Column:
+    """IN1 segments: plan, company and policy."""
+    return F.transform(of_type("IN1"), lambda s: F.struct(component(field(s, 2), 0).alias("plan"), component(field(s, 3), 0).alias("company_id"), component(field(s, 4), 0).alias("company"), field(s, 36).alias("policy")))
+
+
+def extensions(fields: dict[str, dict[int, str]]) -> Column:
+    """Map of a profile's names to the values of local (Z) segments' fields; empty fields have no entry."""
+    entries = [F.when(field(first(seg), number).isNotNull(), F.struct(F.lit(name), field(first(seg), number))) for seg, own in fields.items() for number, name in own.items()]
+    return F.map_from_entries(F.array_compact(F.array(*entries))) if entries else F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+
+
+# Segments that an admission must have, in order.
+ADMISSION_ORDER = ["MSH", "EVN", "PID", "PV1"]
+
+
+def strict_issues() -> Column:
+    """What strict reading of an admission rejects: missing, repeated or misplaced segments, no control number, no record number, bad times."""
+    names = F.transform("segments", lambda s: s[0])
+    at = [F.array_position(names, n) for n in ADMISSION_ORDER]
+    tests = [F.when(a == 0, f"MISSING_{n}") for n, a in zip(ADMISSION_ORDER, at, strict=True)]
+    tests += [F.when(F.size(of_type(n)) > 1, f"REPEATED_{n}") for n in ADMISSION_ORDER]
+    tests += [F.when((a > 0) & (b > 0) & (a > b), f"ORDER_{n}") for a, b, n in zip(at, at[1:], ADMISSION_ORDER[1:], strict=False)]
+    time = field(first("MSH"), 7)
+    tests += [F.when(F.col("control_id").isNull(), "MISSING_CONTROL_ID"), F.when(patient()["mrn"].isNull(), "MISSING_MRN"), F.when(time.isNotNull() & dates.hl7_timestamp(time).isNull(), "INVALID_TIME")]
+    return F.array_compact(F.array(*tests))
+
+
+# Acknowledgement codes in original and enhanced mode.
+ACKNOWLEDGED = {"original": {"accept": "AA", "error": "AE", "reject": "AR"}, "enhanced": {"accept": "CA", "error": "CE", "reject": "CR"}}
+
+
+def acknowledgement(outcome: Column, mode: str = "original") -> Column:
+    """ACK message of a parsed one, by outcome accept, error or reject."""
+    codes = F.create_map(*[F.lit(x) for kv in ACKNOWLEDGED[mode].items() for x in kv])
+    msh = first("MSH")
+    return F.concat(F.lit("MSH|^~\\&|"), F.concat_ws("|", *[F.coalesce(field(msh, k), F.lit("")) for k in (5, 6, 3, 4)]), F.lit("|||ACK|"), F.coalesce("control_id", F.lit("")), F.lit("|P|"), F.coalesce("version", F.lit("2.5")), F.lit("\rMSA|"), F.element_at(codes, outcome), F.lit("|"), F.coalesce("control_id", F.lit("")))
+
+
+# Framing bytes of the transport.
+FRAME_START, FRAME_END = "\x0b", "\x1c\r"
+
+
+def unframed(text: Column) -> Column:
+    """Messages of a stretch of framed transport text; what stands outside of frames is left out."""
+    return F.regexp_extract_all(text, F.lit(f"(?s){FRAME_START}(.*?){FRAME_END[0]}\r"), F.lit(1))

@@ -156,3 +156,23 @@ def test_breaker_and_bucket_streams(spark, tmp_path):
     folds.to_folder(folds.breaker(stream, failures=5, successes=2, open_seconds=30.0), f"{tmp_path}/out2", f"{tmp_path}/c2").awaitTermination()
     got = {r.position: r.allowed for r in spark.read.parquet(f"{tmp_path}/out2").collect()}
     assert [got[k] for k in range(7)] == [True] * 5 + [False] * 2
+
+
+def test_hl7_orders_vaccines_and_strict_reading(spark):
+    head = "MSH|^~\\&|A|B|C|D|20240101||{}|1|P|2.5\r"
+    rows = [(1, head.format("VXU^V04") + "PID|1||9^^^H^MR\rRXA|0|1|20240102||08^HepB^CVX|0.5|mL||||||||L1|||||CP\rZXT|1|local"), (2, head.format("RDE^O11") + "PID|1||9\rORC|NW|77\rRXE||313782^Acet^RXNORM|1|2|tab|T"), (3, "\x0bMSH|x\x1c\rnoise\x0bMSH|y\x1c\r")]
+    m = hl7v2.parse(spark.createDataFrame(rows, "k int, raw string"))
+    r = {x.k: x for x in m.select("k", hl7v2.event_type(F.col("type")).alias("e"), hl7v2.immunization().alias("i"), hl7v2.medication_order().alias("o"), hl7v2.extensions({"ZXT": {2: "origin", 3: "none"}}).alias("z"), hl7v2.strict_issues().alias("s"), hl7v2.acknowledgement(F.lit("accept")).alias("a")).collect()}
+    assert (r[1].e, r[1].i.code, r[1].i.amount, r[1].i.lot, r[1].z) == ("immunization", "08", 0.5, "L1", {"origin": "local"})
+    assert (r[2].e, r[2].o.code, r[2].o.most, r[2].o.order_number, r[2].o.control) == ("medication_order", "313782", 2.0, "77", "NW")
+    assert r[1].s == ["MISSING_EVN", "MISSING_PV1"] and r[1].a == "MSH|^~\\&|C|D|A|B|||ACK|1|P|2.5\rMSA|AA|1"
+    assert m.where("k = 3").select(hl7v2.unframed(F.col("raw"))).first()[0] == ["MSH|x", "MSH|y"]
+
+
+def test_fhir_members(spark):
+    one = spark.range(1)
+    k, t = F.lit(5), F.lit("t")
+    made = [fhir.organization(k, t, F.lit("1234567893")), fhir.practitioner(k, t, t, F.lit(None).cast("string")), fhir.practitioner_role(k, k, k, t, t), fhir.location(k, t, k), fhir.related_person(k, k, t, t, F.lit("mother")), fhir.care_team(k, k, F.array(F.struct(k.alias("practitioner"), t.alias("role")))), fhir.provenance(k, F.lit("Patient/1"), F.lit("2024-01-01").cast("timestamp"), k), fhir.coverage(k, k, t, t, F.lit(True)), fhir.procedure(k, k, t, t, F.lit("CPT"), F.lit("2024-01-01").cast("timestamp")), fhir.immunization(k, k, t, t, F.lit("CVX"), F.lit("2024-01-01").cast("timestamp")), fhir.claim(k, k, F.lit(2.0), F.lit("2024-01-01").cast("timestamp"), F.array(F.struct(F.lit(1).alias("number"), t.alias("procedure"), F.lit(2.0).alias("charge"))))]
+    got = [json.loads(x) for x in one.select(*[fhir.to_json(m).alias(f"c{n}") for n, m in enumerate(made)]).first()]
+    assert [x["resourceType"] for x in got] == ["Organization", "Practitioner", "PractitionerRole", "Location", "RelatedPerson", "CareTeam", "Provenance", "Coverage", "Procedure", "Immunization", "Claim"]
+    assert got[5]["participant"][0]["member"]["reference"] == "Practitioner/5" and got[9]["patient"]["reference"] == "Patient/5" and "identifier" not in got[1] and got[10]["item"][0]["net"]["currency"] == "USD"
