@@ -69,7 +69,8 @@ class Lexicon:
     """Token scores, Gumbel parameters and the final logistic, learned from labelled texts."""
 
     def __init__(self, texts: Iterable[str], labels: Iterable[float]):
-        docs, y = [tokens(x) for x in texts], np.array(list(labels), float)
+        pool: dict[str, str] = {}  # equal tokens are one string
+        docs, y = [[pool.setdefault(w, w) for w in tokens(x)] for x in texts], np.array(list(labels), float)
         self.scores, self.lam, self.k, self.slope, self.offset = {}, 1.0, 0.1, 0.0, 0.0
         self.seen: dict[str, float] = {}
         if len(y) and 0 < y.sum() < len(y):
