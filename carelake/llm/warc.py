@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import limit_batches, shared_folder, staged
 
-FRAME_BYTES, BUNDLE_BYTES, LEVEL = 1 << 20, 256 << 20, 3
+FRAME_BYTES, BUNDLE_BYTES, FRAMES_PER_TASK, LEVEL = 1 << 20, 256 << 20, 512, 3
 #: Fixed values of the seekable format: skippable frame, footer, and of the archive format.
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -180,7 +180,10 @@ def read(index: DataFrame, id_type: str = "long") -> DataFrame:
                 types = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    frames = index.where("at = 0").select("bundle", "frame_at", "frame_size").repartition(F.xxhash64("bundle", "frame_at"))
+    frames = index.where("at = 0").select("bundle", "frame_at", "frame_size")
+    # the rows are tiny and the frames aren't, so the number of tasks follows the frames
+    tasks = max(index.sparkSession.sparkContext.defaultParallelism, frames.count() // FRAMES_PER_TASK)
+    frames = frames.repartition(tasks, F.xxhash64("bundle", "frame_at"))
     found = frames.mapInArrow(get, "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string")
     return found.withColumns({c: F.col(c).cast(id_type) for c in ("page_id", "refers_to")})
 
