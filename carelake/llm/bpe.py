@@ -8,6 +8,7 @@ with a failing pair go through the merges themselves. Chunk and word results are
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import json
@@ -320,6 +321,8 @@ class Encoder:
     """Values of texts' chunks in order; render makes a chunk's value of its token ids."""
 
     def __init__(self, vocab: Vocabulary, render: Callable[[list[int]], object], size: int = TABLE):
+        # nothing here makes cycles, and the collector would go through the tables again and again
+        gc.set_threshold(500_000, 20, 100)
         self.vocab, self.render, self.chunks, self.words = vocab, render, Table(size), Table(size // 4)
 
     def learn(self, chunks: set[str]) -> dict[str, object]:

@@ -8,6 +8,7 @@ import struct
 import zlib
 
 import numpy as np
+import pandas as pd
 import public_tokenizers
 import pytest
 import xxhash
@@ -368,5 +369,5 @@ def test_queries_equal_their_sql(spark, name):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     got = registry.queries()[name](spark, DATA).toPandas()
     want = db.sql(registry.oracle_sql()[name]).df()[got.columns.tolist()]
-    plain = lambda f: sorted(repr(tuple(None if x != x else x for x in r)) for r in f.astype(object).itertuples(index=False, name=None))
+    plain = lambda f: sorted(repr(tuple(None if pd.isna(x) else int(x) if isinstance(x, float) else x for x in r)) for r in f.astype(object).itertuples(index=False, name=None))
     assert plain(got) == plain(want)
