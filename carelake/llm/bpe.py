@@ -13,6 +13,7 @@ import hashlib
 import heapq
 import json
 import re
+from array import array
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
@@ -368,6 +369,16 @@ class Encoder:
         table.trim()
 
 
+@lru_cache(maxsize=4)
+def kept_encoder(path: str, kind: str) -> Encoder:
+    """An encoder that a worker process keeps from task to task, with its tables: chunks as bytes of 32-bit ids, or as ids and tokens in text."""
+    vocab = vocabulary(path)
+    tokens = vocab.tokens
+    if kind == "bytes":
+        return Encoder(vocab, lambda ids: array("I", ids).tobytes())
+    return Encoder(vocab, lambda ids: (" ".join(map(str, ids)), " ".join([tokens[i] for i in ids])))
+
+
 def decode(vocab: Vocabulary, ids: Iterable[int]) -> str:
     """As the library does for a file without a decoder: the tokens with a space between; ids that aren't in the vocabulary are passed over."""
     return " ".join([vocab.tokens[i] for i in ids if i in vocab.tokens])
@@ -384,9 +395,7 @@ def encode_digests(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str
     """
 
     def make():
-        vocab = vocabulary(path)
-        tokens = vocab.tokens
-        encoder = Encoder(vocab, lambda ids: (" ".join(map(str, ids)), " ".join([tokens[i] for i in ids])))
+        encoder = kept_encoder(path, "texts")
 
         def digests(texts: list[str]) -> list[tuple[int, str, str]]:
             n, ids, decoded = [0] * len(texts), [hashlib.sha256() for _ in texts], [hashlib.sha256() for _ in texts]

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import TABLE, Encoder, vocabulary
+from .bpe import kept_encoder
 from .common import limit_batches, staged
 
 CAPACITY = 2048
@@ -67,7 +67,7 @@ def token_pieces(docs: DataFrame, path: str, end_id: int = 0, capacity: int = CA
     plain = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary(path), lambda ids: array("I", ids).tobytes(), 2 * TABLE)
+        encoder = kept_encoder(path, "bytes")
         for batch in batches:
             rows, pieces, starts, lengths, sums = [], [], [], [], []
 
