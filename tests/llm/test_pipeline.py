@@ -29,3 +29,40 @@ def test_odd_rows(spark):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         docs = stage(spark, docs, DATA)
     assert docs.count() <= 4
+
+
+def plain_shingles(text):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
+def similar_or_equal(a, b):
+    return a == b or len(a & b) * 5 >= len(a | b) * 4
+
+
+def test_near_dedup_brute_force(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    rows = [tuple(r) for r in docs.collect()]
+    long = [r for r in rows if len((r[1] or "").split()) > 120][:10]
+    for n, r in enumerate(long):
+        words = r[1].split()
+        for k in range(2):  # each changed word takes five shingles
+            words[10 + 40 * k] = f"changed{n}x{k}"
+            rows.append((900_000 + 10 * n + k, " ".join(words), *r[2:]))
+        half = words[: len(words) // 2]
+        rows.append((900_000 + 10 * n + 9, " ".join(half + [f"other{n}x{i}" for i in range(len(half))]), *r[2:]))
+    frame = spark.createDataFrame(rows, docs.schema)
+    sets = [plain_shingles(r[1]) for r in rows]
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if label[i] != label[j] and similar_or_equal(sets[i], sets[j]):
+                old, new = label[i], label[j]
+                label = [new if x == old else x for x in label]
+    least = {}
+    for r, x in zip(rows, label, strict=True):
+        least[x] = min(r[0], least.get(x, r[0]))
+    want = sorted(least.values())
+    assert not {900_000 + 10 * n for n in range(len(long))} & set(want)  # the planted near copies are found by brute force
+    got = corpus_pipeline.near_dedup(spark, frame, DATA)
+    assert sorted(r.doc_id for r in got.collect()) == want
