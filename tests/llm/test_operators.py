@@ -353,6 +353,61 @@ def test_license_scan(spark):
     assert license_scan.scan(frame.limit(0)).count() == 0
 
 
+BSD = """Copyright (c) 2020, Someone
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+NAME = """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+APACHE = """Copyright 2020 Someone
+
+Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+"""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+"""
+MIT_END = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL
+"""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+"""
+
+
+def test_license_canonical_texts(spark):
+    texts = [
+        (BSD + NAME, "BSD-3-Clause", "bsd-grant,bsd-source,bsd-binary,bsd-name"), (BSD, "BSD-2-Clause", "bsd-grant,bsd-source,bsd-binary"), (APACHE, "Apache-2.0", "grant Apache-2.0,apache-use,apache-copy"),
+        (GPL, "GPL-3.0", "gpl-free,gpl-hope"), (MIT_END, "", "as-is"), (ISC, "ISC", "isc-grant"), ("Released under the MIT License\nCopyright 2020 X", "MIT", "grant MIT"),
+    ]
+    forms = [lambda t: t, lambda t: "/*\n" + "".join(f" * {x}\n" for x in t.splitlines()) + " */\n", lambda t: "".join(f"# {x}\r\n" for x in t.splitlines())]
+    rows = [(10 * i + k, form(t), licence, ids) for i, (t, licence, ids) in enumerate(texts) for k, form in enumerate(forms)]
+    got = {r.doc_id: (r.licenses, r.sentences) for r in license_scan.scan(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()}
+    assert got == {i: (licence, ids) for i, _, licence, ids in rows}
+
+
 @pytest.mark.parametrize("name", sorted(registry.queries()))
 def test_queries_on_empty_tables(spark, name, tmp_path):
     for t in ("documents", "labels", "pages"):
