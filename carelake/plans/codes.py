@@ -61,6 +61,12 @@ def panel_expand(spark, sf_dir):
     return terminology.panel_members(lines, table(spark, sf_dir, "part").select(F.col("p_partkey").alias("code"), F.col("p_name").alias("name")))
 
 
+@query("""SELECT DISTINCT l_orderkey AS panel, l_partkey AS member, p_name AS name, l_linenumber AS sequence FROM lineitem JOIN part ON l_partkey = p_partkey""")
+def panel_expand_whole(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("panel"), F.col("l_partkey").alias("member"), F.col("l_linenumber").alias("sequence")).distinct()
+    return terminology.panel_members(lines, table(spark, sf_dir, "part").select(F.col("p_partkey").alias("code"), F.col("p_name").alias("name")))
+
+
 @query("""WITH rel AS (SELECT 'N' || n_nationkey AS cui1, 'isa' AS relation, 'R' || (n_regionkey * 2) AS cui2 FROM nation), c AS (SELECT 'R' || r_regionkey AS cui, r_name AS name FROM region)
 SELECT cui1, relation, cui2, name FROM rel LEFT JOIN c ON cui2 = cui ORDER BY cui1, relation, cui2 LIMIT 100""")
 def relation_left_join(spark, sf_dir):
@@ -122,6 +128,15 @@ def hybrid_merge(spark, sf_dir):
     return terminology.hybrid(e, s, 0.4).select("code", F.round("score", 9).alias("score"))
 
 
+@query("""WITH e AS (SELECT 'C' || p_partkey AS code, p_size / 50.0::DOUBLE AS confidence FROM part), s AS (SELECT 'C' || (p_partkey + 15) AS code, (p_partkey % 10) / 10.0::DOUBLE AS score FROM part)
+SELECT coalesce(e.code, s.code) AS code, round(coalesce(greatest(CASE WHEN s.code IS NOT NULL THEN confidence END, 0.6::DOUBLE * confidence + 0.4::DOUBLE * score), confidence, 0.4::DOUBLE * score), 9) AS score FROM e FULL OUTER JOIN s ON e.code = s.code""")
+def hybrid_merge_whole(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    e = p.select(F.concat(F.lit("C"), "p_partkey").alias("code"), (F.col("p_size") / 50).alias("confidence"))
+    s = p.select(F.concat(F.lit("C"), (F.col("p_partkey") + 15).cast("string")).alias("code"), ((F.col("p_partkey") % 10) / 10).alias("score"))
+    return terminology.hybrid(e, s, 0.4).select("code", F.round("score", 9).alias("score"))
+
+
 @query("""WITH f AS (SELECT c_nationkey AS code, c_mktsegment AS target, c_acctbal > 0 AS accepted FROM customer), t AS (SELECT code, target, 0.95::DOUBLE + 0.01::DOUBLE * count(*) AS score FROM f WHERE accepted GROUP BY 1, 2),
 s AS (SELECT s_nationkey AS code, 'MACHINERY' AS target, max((s_suppkey % 10) / 9.0::DOUBLE) AS score FROM supplier GROUP BY 1), u AS (SELECT *, 'feedback' AS strategy FROM t UNION ALL SELECT *, 'semantic' FROM s),
 b AS (SELECT code, target, max(score) AS score, arg_max(strategy, score) AS strategy FROM u GROUP BY 1, 2 HAVING max(score) >= 0.5)

@@ -27,6 +27,15 @@ def attempts_view(spark, sf_dir):
     return delivery.attempts_view(attempts, outbox, dead).select("message_id", "attempt_id", "endpoint", "reason")
 
 
+@query("""SELECT l_orderkey AS message_id, l_orderkey * 10 + l_linenumber AS attempt_id, o_orderpriority AS endpoint, CASE WHEN EXISTS (SELECT 1 FROM lineitem r WHERE r.l_orderkey = l.l_orderkey AND r.l_linenumber = l.l_linenumber AND r.l_returnflag = 'R') THEN 'refused' END AS reason FROM lineitem l JOIN orders ON l_orderkey = o_orderkey""")
+def attempts_view_whole(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem")
+    attempts = lines.select(F.col("l_orderkey").alias("message_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("attempt_id"), "l_returnflag")
+    outbox = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("message_id"), F.col("o_orderpriority").alias("endpoint"))
+    dead = attempts.where("l_returnflag = 'R'").select("attempt_id", F.lit("refused").alias("reason")).distinct()
+    return delivery.attempts_view(attempts, outbox, dead).select("message_id", "attempt_id", "endpoint", "reason")
+
+
 @query("""SELECT o_orderkey AS message_id, o_orderpriority AS endpoint FROM orders WHERE o_orderstatus = 'O' AND o_orderdate <= TIMESTAMP '1999-01-01 00:00:00' AND o_orderpriority NOT IN ('2-HIGH', '5-LOW') ORDER BY o_orderdate, o_orderkey LIMIT 30""")
 def outbox_claim(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
@@ -94,6 +103,16 @@ def saga_outcomes(spark, sf_dir):
     return out.select("saga", "status", F.array_join("undo", ",").alias("undo"))
 
 
+@query("""WITH s AS (SELECT l_orderkey AS saga, l_linenumber AS n, min(l_returnflag) AS flag FROM lineitem GROUP BY 1, 2), b AS (SELECT saga, min(CASE WHEN flag = 'R' THEN n END) AS failed_at, count(*) AS steps, count(*) FILTER (WHERE flag = 'A') AS done FROM s GROUP BY 1)
+SELECT b.saga, CASE WHEN failed_at IS NOT NULL THEN 'compensated' WHEN done = steps THEN 'completed' ELSE 'running' END AS status, coalesce((SELECT string_agg('s' || n, ',' ORDER BY n DESC) FROM s WHERE s.saga = b.saga AND flag = 'A' AND failed_at IS NOT NULL AND n < failed_at), '') AS undo FROM b""")
+def saga_outcomes_whole(spark, sf_dir):
+    s = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("saga"), F.col("l_linenumber").alias("n")).agg(F.min("l_returnflag").alias("flag"))
+    steps = s.select("saga", "n", F.concat(F.lit("s"), "n").alias("name"))
+    results = s.where("flag <> 'N'").select("saga", "n", (F.col("flag") == "A").alias("ok"))
+    out = delivery.saga(steps, results)
+    return out.select("saga", "status", F.array_join("undo", ",").alias("undo"))
+
+
 @query("""SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS sequence FROM conversations""")
 def session_sequence(spark, sf_dir):
     return delivery.numbered(table(spark, sf_dir, "conversations").select("conv_id", "turn"), "conv_id", "turn")

@@ -35,6 +35,15 @@ def database_upsert(spark, sf_dir):
     return sinks.upsert(old, e.where("position >= 500 AND position < 700"), ["stream_id"], "position")
 
 
+@query(f"""WITH {LOG}, old AS (SELECT stream_id, arg_max(event_type, position) AS event_type, arg_max(value, position) AS value FROM log WHERE position % 2 = 0 GROUP BY 1),
+new AS (SELECT stream_id, arg_max(event_type, position) AS event_type, arg_max(value, position) AS value FROM log WHERE position % 2 <> 0 GROUP BY 1)
+SELECT * FROM new UNION ALL SELECT * FROM old WHERE stream_id NOT IN (SELECT stream_id FROM new)""")
+def database_upsert_whole(spark, sf_dir):
+    e = log(spark, sf_dir)
+    old = e.where("position % 2 = 0").groupBy("stream_id").agg(F.max_by("event_type", "position").alias("event_type"), F.max_by("value", "position").alias("value"))
+    return sinks.upsert(old, e.where("position % 2 <> 0"), ["stream_id"], "position")
+
+
 @query(f"WITH {LOG} SELECT 'events' AS topic, stream_id AS key, position FROM log")
 def queue_messages(spark, sf_dir):
     q = sinks.queue_rows(log(spark, sf_dir), "events", "event.stream_id", {"source": "log"})
