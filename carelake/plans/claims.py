@@ -55,6 +55,11 @@ def eligibility_status(spark, sf_dir):
     return claims.eligibility(_benefits(spark, sf_dir).where("p_size < 4"), "member")
 
 
+@query(f"WITH {BENEFITS} SELECT member, CASE WHEN bool_or(info_code IN ('6', '7', '8')) THEN 'inactive' WHEN bool_or(info_code IN ('1', '2', '3', '4', '5')) THEN 'active' ELSE 'unknown' END AS status FROM benefits GROUP BY 1")
+def eligibility_status_whole(spark, sf_dir):
+    return claims.eligibility(_benefits(spark, sf_dir), "member")
+
+
 @query("""WITH c AS (SELECT o_orderkey AS claim, CASE o_orderstatus WHEN 'F' THEN 'F1:65' WHEN 'O' THEN 'P1:20' ELSE 'F2:88' END AS stc FROM orders)
 SELECT claim, CASE stc WHEN 'F1:65' THEN 'paid' WHEN 'P1:20' THEN 'pending' ELSE 'denied' END AS status FROM c""")
 def claim_status(spark, sf_dir):

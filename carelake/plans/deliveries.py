@@ -18,6 +18,15 @@ def receipt_counts(spark, sf_dir):
     return delivery.receipts(r, lines.where("l_returnflag = 'R'"), lines, lines.where("l_returnflag = 'A'"))
 
 
+@query("""WITH r AS (SELECT o_orderkey AS receipt_id FROM orders), a AS (SELECT l_orderkey AS receipt_id, l_linestatus, l_returnflag FROM lineitem)
+SELECT r.receipt_id, (SELECT count(*) FROM a WHERE a.receipt_id = r.receipt_id AND l_returnflag = 'R') AS events, (SELECT count(*) FROM a WHERE a.receipt_id = r.receipt_id) AS attempts,
+  (SELECT count(*) FROM a WHERE a.receipt_id = r.receipt_id AND l_linestatus = 'O') AS queued, (SELECT count(*) FROM a WHERE a.receipt_id = r.receipt_id AND l_returnflag = 'A') AS dead_letters FROM r""")
+def receipt_counts_whole(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("receipt_id"), F.when(F.col("l_linestatus") == "O", "queued").otherwise("done").alias("status"), "l_returnflag")
+    r = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("receipt_id"))
+    return delivery.receipts(r, lines.where("l_returnflag = 'R'"), lines, lines.where("l_returnflag = 'A'"))
+
+
 @query("""SELECT l_orderkey AS message_id, l_orderkey * 10 + l_linenumber AS attempt_id, o_orderpriority AS endpoint, CASE WHEN EXISTS (SELECT 1 FROM lineitem r WHERE r.l_orderkey = l.l_orderkey AND r.l_linenumber = l.l_linenumber AND r.l_returnflag = 'R') THEN 'refused' END AS reason FROM lineitem l JOIN orders ON l_orderkey = o_orderkey WHERE l_orderkey < 500""")
 def attempts_view(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").where("l_orderkey < 500")
@@ -60,6 +69,15 @@ def dead_letter_replay(spark, sf_dir):
     return delivery.resubmitted(dead, attempts, outbox).select("message_id", "attempts", "status")
 
 
+@query("""SELECT o_orderkey AS message_id, CAST(0 AS BIGINT) AS attempts, 'pending' AS status FROM orders WHERE o_orderstatus = 'F'""")
+def dead_letter_replay_whole(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    dead = o.select(F.col("o_orderkey").alias("attempt_id"), F.when(F.col("o_orderstatus") == "F", "active").otherwise("resolved").alias("status"))
+    attempts = o.select(F.col("o_orderkey").alias("attempt_id"), F.col("o_orderkey").alias("message_id"))
+    outbox = o.select(F.col("o_orderkey").alias("message_id"), F.col("o_orderpriority").alias("endpoint"), F.lit("{}").alias("payload"))
+    return delivery.resubmitted(dead, attempts, outbox).select("message_id", "attempts", "status")
+
+
 @query("""WITH p AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 9 = 0 THEN 'rejected' ELSE 'pending' END AS status, c_custkey % 10 < 7 AS live, CASE WHEN c_custkey % 2 = 0 THEN 'approved' WHEN c_custkey % 5 = 0 THEN 'rejected' END AS decision FROM customer)
 SELECT CASE WHEN status = 'pending' AND live AND decision IS NOT NULL THEN decision WHEN status = 'pending' AND NOT live THEN 'expired' ELSE status END AS status, count(*) AS n FROM p GROUP BY 1""")
 def mapping_review(spark, sf_dir):
