@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,3 +80,57 @@ def map_texts(df: DataFrame, keep: list[str], text: str, make: Callable[[], Call
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(keep))], *made], names=[*keep, *names])
 
     return source.mapInArrow(run, full)
+
+
+#: Rows of fixed width up to which a table goes to all tasks of a join.
+SMALL_ROWS = 1_000_000
+
+
+def join_small(big: DataFrame, small: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """big joined with small, a staged table of fixed-width rows: they are counted, and only up to SMALL_ROWS of them are broadcast."""
+    return big.join(F.broadcast(small) if small.count() <= SMALL_ROWS else small, key, how)
+
+
+def sorted_groups(df: DataFrame, key: str, run: Callable[[int, list[pa.Array]], Iterator[tuple]], schema: str) -> DataFrame:
+    """Rows of ``schema`` that run(key, the other columns) gives for each group of the first column ``key``; groups must be of bounded size.
+
+    The groups are dealt by key and sorted in their task, which walks through them without a frame for each.
+    """
+    spark = df.sparkSession
+    limit_batches(spark)
+    target = spark.createDataFrame([], schema).schema
+    names = [f.name for f in target.fields]
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        own, held = to_arrow_schema(target), []
+
+        def made(table: pa.Table, ends: list[int]) -> pa.RecordBatch:
+            rows, at = [], 0
+            columns = [c.combine_chunks() for c in table.columns]
+            keys = columns[0]
+            for end in ends:
+                rows += run(keys[at].as_py(), [c.slice(at, end - at) for c in columns[1:]])
+                at = end
+            values = list(zip(*rows, strict=True)) if rows else [()] * len(names)
+            return pa.RecordBatch.from_arrays([pa.array(v, own.field(i).type) for i, v in enumerate(values)], names=names)
+
+        for batch in batches:
+            held.append(batch)
+            keys = batch.column(0).to_numpy(zero_copy_only=False)
+            if not len(keys) or len(held) > 1 and keys[-1] == held[0].column(0)[held[0].num_rows - 1].as_py():
+                continue  # the last group goes on
+            table = pa.Table.from_batches(held)
+            all_keys = table.column(0).to_numpy()
+            ends = (np.nonzero(all_keys[1:] != all_keys[:-1])[0] + 1).tolist()
+            if ends:
+                yield made(table.slice(0, ends[-1]), ends)
+                held = pa.Table.slice(table, ends[-1]).combine_chunks().to_batches()
+        if held:
+            table = pa.Table.from_batches(held)
+            if table.num_rows:
+                all_keys = table.column(0).to_numpy()
+                yield made(table, [*(np.nonzero(all_keys[1:] != all_keys[:-1])[0] + 1).tolist(), table.num_rows])
+
+    return df.repartition(key).sortWithinPartitions(key).mapInArrow(walk, target)

@@ -1,6 +1,10 @@
 """The pipeline's stages against the operators and brute force."""
 
+import numpy as np
+import pytest
+
 import corpus_pipeline
+from carelake.llm import shingle_sets
 
 DATA = "/root/testdata/sf0.001"
 
@@ -40,7 +44,9 @@ def similar_or_equal(a, b):
     return a == b or len(a & b) * 5 >= len(a | b) * 4
 
 
-def test_near_dedup_brute_force(spark):
+@pytest.mark.parametrize("limits", [{}, {"block_hashes": 100}])
+def test_near_dedup_brute_force(spark, limits):
+    """Blocks in one task, and blocks that stay dealt over all tasks."""
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     rows = [tuple(r) for r in docs.collect()]
     long = [r for r in rows if len((r[1] or "").split()) > 120][:10]
@@ -64,5 +70,42 @@ def test_near_dedup_brute_force(spark):
         least[x] = min(r[0], least.get(x, r[0]))
     want = sorted(least.values())
     assert not {900_000 + 10 * n for n in range(len(long))} & set(want)  # the planted near copies are found by brute force
-    got = corpus_pipeline.near_dedup(spark, frame, DATA)
+    got = shingle_sets.keep_one(frame, **limits)
     assert sorted(r.doc_id for r in got.collect()) == want
+
+
+def chain(n):
+    """Sets of which each is similar to its neighbours alone."""
+    return [np.arange(k * 10, k * 10 + 100, dtype=np.uint64) for k in range(n)]
+
+
+@pytest.mark.parametrize("queries", [4096, 3])
+def test_large_blocks_by_rounds(spark, queries):
+    """Chains, a dense group and sets that are alone, in two blocks; few queries a round."""
+    draw = np.random.default_rng(5)
+    dense = [np.unique(np.concatenate([np.arange(5000, 5100), draw.integers(6000, 7000, 8)])).astype(np.uint64) for _ in range(40)]
+    alone = [draw.integers(1 << 40, 1 << 50, 50).astype(np.uint64) for _ in range(6)]
+    sets = [np.unique(x) for x in chain(12) + dense + alone]
+    rows = [(k % 2, k, x.tobytes()) for k, x in enumerate(sets)]
+    got = {r.fp: r.head for r in shingle_sets.large_heads(spark.createDataFrame(rows, "root long, fp long, hashes binary"), queries).collect()}
+    for root in range(2):
+        own = [k for r, k, _ in rows if r == root]
+        label = {k: k for k in own}
+        for a in own:
+            for b in own:
+                shared = len(np.intersect1d(sets[a], sets[b]))
+                if shared * 5 >= 4 * (len(sets[a]) + len(sets[b]) - shared):
+                    old, new = label[a], label[b]
+                    label = {k: new if v == old else v for k, v in label.items()}
+        assert {(a, b) for a in own for b in own if got[a] == got[b]} == {(a, b) for a in own for b in own if label[a] == label[b]}
+    assert len(shingle_sets.similar([sets[k] for k in range(12)])) == 12 and set(shingle_sets.similar(chain(3))) == {0}
+
+
+def test_near_dedup_odd_rows(spark):
+    rows = [(None, "a b c", 1), (7, "A  b\nc", 2), (7, "a b c", 3), (None, None, 4), (None, "", 5), (9, "x " * 60000, 6), (8, "x", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _row_of_keep_one long")
+    kept = shingle_sets.keep_one(docs)
+    assert kept.columns == docs.columns
+    got = sorted(r[2] for r in kept.collect())
+    assert len(got) == 4 and set(got) & {2, 3} and set(got) & {4, 5} and {6, 7} <= set(got)
+    assert shingle_sets.keep_one(docs.limit(0)).count() == 0
