@@ -25,7 +25,7 @@ from .common import map_texts
 
 NONE = np.iinfo(np.int32).max - 1
 #: Entries of each table, characters of a text handled at once, characters up to which words and chunks are kept.
-TABLE, SLICE, KEPT = 400_000, 1 << 20, 64
+TABLE, SLICE, KEPT = 250_000, 1 << 19, 64
 #: More than the highest letter that stands for a byte.
 LETTERS = 512
 #: Characters up to here have the same properties in all Unicode versions and no compositions; the library itself normalises others.
@@ -45,7 +45,7 @@ def byte_letters() -> list[str]:
 class PairTable:
     """Values of pairs of small numbers, for arrays: two hash tables, of which the second holds what clashes in the first."""
 
-    BITS = 20
+    BITS = 17
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
         draw = np.random.default_rng(1)
