@@ -13,19 +13,19 @@ import hashlib
 import heapq
 import json
 import re
+import unicodedata
 from array import array
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
-import regex
 from pyspark.sql import DataFrame
 
 from .common import map_texts
 
 NONE = np.iinfo(np.int32).max - 1
 #: Entries of each table, characters of a text handled at once, characters up to which words and chunks are kept.
-TABLE, SLICE, KEPT = 250_000, 1 << 19, 64
+TABLE, SLICE, KEPT = 250_000, 1 << 20, 64
 #: More than the highest letter that stands for a byte.
 LETTERS = 512
 #: Characters up to here have the same properties in all Unicode versions and no compositions; the library itself normalises others.
@@ -33,6 +33,18 @@ BEYOND = re.compile("[^\x00-\u024f]")
 #: Python counts these as white space, the vocabulary's normaliser doesn't.
 SEPARATORS = re.compile("[\x1c-\x1f]")
 SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
+#: Fixed value: how the vocabulary cuts words.
+PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
+def _plain_words() -> re.Pattern:
+    """The same cut for characters that aren't beyond, in lower case, as explicit classes; line ends stand between chunks."""
+    low = sorted({c for k in range(0x250) for c in chr(k).lower()})
+    letters, numbers = ("".join(c for c in low if unicodedata.category(c)[0] == kind) for kind in "LN")
+    return re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^\n{letters}{numbers}]+|\n")
+
+
+PLAIN_WORDS = _plain_words()
 
 
 def byte_letters() -> list[str]:
@@ -88,10 +100,12 @@ class Vocabulary:
         self.special = {x["content"]: x["id"] for x in data["added_tokens"]}
         self.tokens = dict((i, t) for t, i in [*self.ids.items(), *self.special.items()])
         self.size = max(self.tokens) + 1
-        self.pattern = regex.compile(data["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        if data["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] != PATTERN:
+            raise ValueError(f"{path}: words are cut by another pattern than {PATTERN}")
         self.special_pattern = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.letters = byte_letters()
         self.byte_map = {b: x for b, x in enumerate(self.letters) if chr(b) != x}
+        self.letter_bytes = {x: b for b, x in enumerate(self.letters)}
         self.left, self.right, self.rank = (np.full(self.size, -1, np.int64) for _ in range(3))
         self.merges: dict[int, int] = {}
         for k, pair in enumerate(model["merges"]):
@@ -265,19 +279,32 @@ class Vocabulary:
 
         return Tokenizer.from_file(self.path)
 
-    def split_chunk(self, chunk: str) -> list[str | int]:
-        """Words in byte letters, and ids of special strings, of a chunk without white space."""
-        if self.special_pattern and "<" in chunk and self.special_pattern.search(chunk):
+    def split_odd(self, chunk: str) -> list[str | int]:
+        """Words, and ids of special strings, of a chunk that has a special string or characters that the library itself normalises."""
+        if self.special_pattern and self.special_pattern.search(chunk):
             parts = [x for x in self.special_pattern.split(chunk) if x]
-            return [y for x in parts for y in ([self.special[x]] if x in self.special else self.split_chunk(x))]
-        body, tail = (chunk, []) if chunk[-1] not in ",." else (chunk[:-1], [chunk[-1]])
-        low = body.lower()
-        words = [low, *tail] if low.isalpha() else None  # letters alone are one word
-        if chunk.isascii() and chunk.isprintable():
-            return words or self.pattern.findall(chunk.lower())
+            return [y for x in parts for y in ([self.special[x]] if x in self.special else self.split_odd(x))]
         if not BEYOND.search(chunk):
-            return [w.encode().decode("latin-1").translate(self.byte_map) for w in words or self.pattern.findall(chunk.lower())]
-        return [w for w, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(chunk))]
+            return PLAIN_WORDS.findall(chunk.lower())
+        own = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(chunk))
+        return [bytes(map(self.letter_bytes.__getitem__, w)).decode() for w, _ in own]
+
+    def split_chunks(self, chunks: list[str]) -> list[list[str | int]]:
+        """Words, and ids of special strings, of chunks without white space: the plain ones are cut in one go."""
+        plain = ["" if BEYOND.search(c) or self.special_pattern and "<" in c and self.special_pattern.search(c) else c for c in chunks] if BEYOND.search("".join(chunks)) or any("<|" in c for c in chunks) else chunks
+        out: list[list[str | int]] = []
+        own: list[str | int] = []
+        for w in PLAIN_WORDS.findall("\n".join(plain).lower() + "\n"):
+            if w == "\n":
+                out.append(own)
+                own = []
+            else:
+                own.append(w)
+        if plain is not chunks:
+            for k, (c, x) in enumerate(zip(chunks, plain, strict=True)):
+                if not x:
+                    out[k] = self.split_odd(c)
+        return out
 
 
 @lru_cache(maxsize=4)
@@ -328,12 +355,15 @@ class Encoder:
 
     def learn(self, chunks: set[str]) -> dict[str, object]:
         """Values of chunks; their short words are kept."""
+        if not chunks:
+            return {}
         order = list(chunks)
-        split = list(map(self.vocab.split_chunk, order))
-        words, render = self.words, self.render
+        split = self.vocab.split_chunks(order)
+        words, render, byte_map = self.words, self.render, self.vocab.byte_map
         new = list(words.missing({w for x in split for w in x if w.__class__ is str}))
         if new:
-            words.update(zip(new, self.vocab.encode_words(new), strict=True))
+            letters = new if (text := "".join(new)).isascii() and text.isprintable() else [w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(byte_map) for w in new]
+            words.update(zip(new, self.vocab.encode_words(letters), strict=True))
         out = [render(words[x[0]] if len(x) == 1 and x[0].__class__ is str else [t for w in x for t in ([w] if w.__class__ is int else words[w])]) for x in split]
         for w in new:
             if len(w) > KEPT:
@@ -355,14 +385,12 @@ class Encoder:
 
     def _render(self, group: list[tuple[int, list[str]]]) -> Iterator[tuple[int, list]]:
         table = self.chunks
-        get = table.get
-        found = [list(map(get, x)) for _, x in group]
-        absent = {c for (_, x), own in zip(group, found, strict=True) if None in own for c, v in zip(x, own, strict=True) if v is None}
-        new = self.learn(table.missing(absent))
+        new = self.learn(table.missing(set().union(*[x for _, x in group])))
         table.update(new)
-        for (k, x), own in zip(group, found, strict=True):
+        get = table.__getitem__
+        for k, x in group:
             if x:
-                yield k, [get(c) if v is None else v for c, v in zip(x, own, strict=True)] if None in own else own
+                yield k, list(map(get, x))
         for c in new:
             if len(c) > KEPT:
                 del table[c]
