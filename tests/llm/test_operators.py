@@ -350,10 +350,13 @@ def test_license_scan(spark):
     got = sorted((r.doc_id, r.licenses, r.n_licenses) for r in license_scan.scan(frame).collect())
     assert got == sorted((i, x, int(bool(x))) for i, _, x in rows)
     assert all(any(a in s for a in license_scan.ANCHORS) for s in license_scan.catalogue())
+    assert len(license_scan.NAMES) < 200 and all(license_scan.normal(n) == n for n in license_scan.names())
     assert license_scan.scan(frame.limit(0)).count() == 0
 
 
 BSD = """Copyright (c) 2020, Someone
+All rights reserved.
+
 Redistribution and use in source and binary forms, with or without
 modification, are permitted provided that the following conditions are met:
 
@@ -369,6 +372,11 @@ NAME = """
    contributors may be used to endorse or promote products derived from
    this software without specific prior written permission.
 """
+BSD_END = """
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY ARE DISCLAIMED.
+"""
 APACHE = """Copyright 2020 Someone
 
 Licensed under the Apache License, Version 2.0 (the "License");
@@ -376,6 +384,12 @@ you may not use this file except in compliance with the License.
 You may obtain a copy of the License at
 
     http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
 """
 GPL = """This program is free software: you can redistribute it and/or modify
 it under the terms of the GNU General Public License as published by
@@ -387,25 +401,69 @@ but WITHOUT ANY WARRANTY; without even the implied warranty of
 MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
 GNU General Public License for more details.
 """
-MIT_END = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+LGPL = """Foo is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.
+"""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""
+MIT = """MIT License
+
+Copyright (c) 2020 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
 IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
 FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL
 """
 ISC = """Permission to use, copy, modify, and/or distribute this software for any
 purpose with or without fee is hereby granted, provided that the above
 copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES
+WITH REGARD TO THIS SOFTWARE
+"""
+UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software.
 """
+LICENSE_TEXTS = [
+    (BSD + NAME + BSD_END, "BSD-3-Clause", "rights,bsd-grant,bsd-source,bsd-binary,bsd-name,bsd-as-is"), (BSD + BSD_END, "BSD-2-Clause", "rights,bsd-grant,bsd-source,bsd-binary,bsd-as-is"),
+    (BSD.replace("1.", "*").replace("2.", "*"), "BSD-2-Clause", "rights,bsd-grant,bsd-source,bsd-binary"), (BSD + NAME.replace("the copyright holder", "Google LLC"), "BSD-3-Clause", "rights,bsd-grant,bsd-source,bsd-binary,bsd-name"),
+    (APACHE, "Apache-2.0", "grant Apache-2.0,apache-use,apache-copy,apache-law,apache-see"), (GPL, "GPL-3.0-or-later", "notice GPL-3.0-or-later,gnu-hope"), (LGPL, "LGPL-2.1-or-later", "notice LGPL-2.1-or-later"),
+    (MPL, "MPL-2.0", "mpl-form,mpl-copy"), (MIT, "MIT", "mit-grant,mit-notice,as-is"), (ISC, "ISC", "isc-grant,isc-as-is"), (UNLICENSE, "Unlicense", "public-domain"),
+    ("Released under the MIT License\nCopyright 2020 X", "MIT", "grant MIT"), ("licensed under the terms of the MIT License", "MIT", "grant MIT"), ("License: MIT", "MIT", "grant MIT"),
+    ("SPDX-License-Identifier: MIT OR Apache-2.0", "MIT,Apache-2.0", "grant MIT,grant Apache-2.0"), ("SPDX-License-Identifier: GPL-2.0-or-later", "GPL-2.0-or-later", "grant GPL-2.0-or-later"),
+    ("SPDX-License-Identifier: (LGPL-2.1-only AND BSD-3-Clause)", "BSD-3-Clause,LGPL-2.1-only", "grant LGPL-2.1-only,grant BSD-3-Clause"), ("All rights reserved.", "Proprietary", "rights"),
+    ("Copyright X. All rights reserved.\nReleased under the MIT License.", "MIT", "rights,grant MIT"), ("This work is licensed under the GNU General Public License, version 3.", "GPL-3.0", "grant GPL-3.0"),
+    ("https://creativecommons.org/licenses/by-sa/4.0/", "CC-BY-SA-4.0", "grant CC-BY-SA-4.0"), ("licensed under a Creative Commons Attribution-NonCommercial 4.0 International License", "CC-BY-NC-4.0", "grant CC-BY-NC-4.0"),
+    ("He took his license and permission as is.", "", ""),
+]
 
 
 def test_license_canonical_texts(spark):
-    texts = [
-        (BSD + NAME, "BSD-3-Clause", "bsd-grant,bsd-source,bsd-binary,bsd-name"), (BSD, "BSD-2-Clause", "bsd-grant,bsd-source,bsd-binary"), (APACHE, "Apache-2.0", "grant Apache-2.0,apache-use,apache-copy"),
-        (GPL, "GPL-3.0", "gpl-free,gpl-hope"), (MIT_END, "", "as-is"), (ISC, "ISC", "isc-grant"), ("Released under the MIT License\nCopyright 2020 X", "MIT", "grant MIT"),
-    ]
-    forms = [lambda t: t, lambda t: "/*\n" + "".join(f" * {x}\n" for x in t.splitlines()) + " */\n", lambda t: "".join(f"# {x}\r\n" for x in t.splitlines())]
-    rows = [(10 * i + k, form(t), licence, ids) for i, (t, licence, ids) in enumerate(texts) for k, form in enumerate(forms)]
+    """As they are, as comments of two kinds, in one line, and in capitals; the SQL gives the same rows."""
+    import duckdb
+
+    forms = [lambda t: t, lambda t: "/*\n" + "".join(f" * {x}\n" for x in t.splitlines()) + " */\n", lambda t: "".join(f"# {x}\r\n" for x in t.splitlines()), lambda t: " ".join(t.split()), str.upper]
+    rows = [(10 * i + k, form(t), licence, ids) for i, (t, licence, ids) in enumerate(LICENSE_TEXTS) for k, form in enumerate(forms)]
     got = {r.doc_id: (r.licenses, r.sentences) for r in license_scan.scan(spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")).collect()}
     assert got == {i: (licence, ids) for i, _, licence, ids in rows}
+    documents = pd.DataFrame([r[:2] for r in rows], columns=["doc_id", "text"])  # noqa: F841
+    assert {i: (licence, ids) for i, ids, licence, _ in duckdb.sql(license_scan.oracle()).fetchall()} == got
 
 
 @pytest.mark.parametrize("name", sorted(registry.queries()))
