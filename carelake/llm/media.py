@@ -102,11 +102,13 @@ def sequences(pages: DataFrame, key: str = "page_id", html: str = "html") -> Dat
 
 
 def resolve(found: DataFrame, store: DataFrame, key: str = "page_id") -> DataFrame:
-    """One row for each media reference with the store's columns for its digest; references that the store lacks keep nulls there.
+    """One row for each media reference with n_items of its page and the store's columns for its digest; references that the store lacks, and
+    those without a digest, keep nulls there.
 
-    A digest that very many references share is a skewed key of a plain join of two shuffled sides, which the engine splits.
+    A digest that very many references share is a skewed key of a plain join of two shuffled sides, which the engine splits. Texts aren't shuffled.
     """
-    refs = found.select(key, F.explode("items").alias("item")).where("item.kind <> 'text'").select(key, "item.*")
+    media = F.filter("items", lambda x: x["kind"] != "text")
+    refs = found.select(key, F.size("items").alias("n_items"), F.explode(media).alias("item")).select(key, "n_items", *[f"item.{c}" for c in ("position", "kind", "src", "digest", "caption")])
     return refs.join(store, "digest", "left")
 
 
@@ -145,11 +147,16 @@ def facts(media: bytes) -> tuple:
     return n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature(payload)
 
 
-def store_texts(docs: DataFrame) -> DataFrame:
-    """(doc_id, page, digest, media): each text as a stored payload, and a page that refers to it by the digest of the stored form.
+def page_of(text: str) -> str:
+    """An article of the text's lines as paragraphs, with its stored payload as a figure amid them, referred to by digest."""
+    name = hashlib.sha256(to_media(data := text.encode("utf-8", "surrogatepass"))).hexdigest()
+    lines = [f"<p>{escape(x)}</p>" for x in text.split("\n") if x]
+    figure = f'<figure><img src="sha256:{name}"><figcaption>{len(data)} bytes</figcaption></figure>'
+    return "<article>" + "".join(lines[: len(lines) // 2]) + figure + "".join(lines[len(lines) // 2 :]) + "</article>"
 
-    A task stores equal payloads once, as long as it remembers them (REMEMBERED digests); the others have null media.
-    """
+
+def store_texts(docs: DataFrame) -> DataFrame:
+    """(digest, media): each text as a stored payload; a task stores equal payloads once, as long as it remembers them (REMEMBERED digests)."""
 
     def make():
         seen: set[str] = set()
@@ -157,10 +164,9 @@ def store_texts(docs: DataFrame) -> DataFrame:
         def put(texts: list[str]) -> list[tuple]:
             out = []
             for x in texts:
-                media = to_media(data := x.encode("utf-8", "surrogatepass"))
+                media = to_media(x.encode("utf-8", "surrogatepass"))
                 name = hashlib.sha256(media).hexdigest()
-                page = f'<article><figure><img src="sha256:{name}"><figcaption>{escape(str(len(data)))} bytes</figcaption></figure></article>'
-                out.append((page, name, None if name in seen else media))
+                out.append((None, None) if name in seen else (name, media))
                 if len(seen) >= REMEMBERED:
                     seen.clear()
                 seen.add(name)
@@ -168,7 +174,7 @@ def store_texts(docs: DataFrame) -> DataFrame:
 
         return put
 
-    return staged(map_texts(docs.select("doc_id", "text"), ["doc_id"], "text", make, "page string, digest string, media binary"), "media")
+    return staged(map_texts(docs.select("text"), [], "text", make, "digest string, media binary").where("media IS NOT NULL"), "media")
 
 
 REMEMBERED = 100_000
@@ -186,17 +192,18 @@ def read_facts(stored: DataFrame) -> DataFrame:
             made = [pa.array([r[k] for r in rows], pa.int64() if t == "long" else pa.string()) for k, (_, t) in enumerate(fields)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=["digest", *[n for n, _ in fields]])
 
-    each = stored.where("media IS NOT NULL").select("digest", "media").mapInArrow(get, f"digest string, {FACTS}")
+    each = stored.select("digest", "media").mapInArrow(get, f"digest string, {FACTS}")
     return staged(each.groupBy("digest").agg(*[F.min(n).alias(n) for n, _ in fields]), "facts")
 
 
 def store_and_read(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, position, caption) of each row of docs.
+    """(doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, n_items, position, caption) of each row of docs.
 
-    Null and empty texts are 64 zero bytes. Equal texts have equal values, as the values come from the stored bytes alone. Repeated rows and
-    null ids are kept.
+    Each text's page (page_of) is parsed into an interleaved sequence of its paragraphs and the reference to its payload, and the digest join puts
+    what was read back beside the reference, with its position and caption. Null and empty texts are 64 zero bytes and a page of the figure alone.
+    Equal texts have equal values, as the values come from the stored bytes alone. Repeated rows and null ids are kept.
     """
-    stored = store_texts(docs)
-    found = sequences(stored.select("doc_id", "page"), "doc_id", "page")
+    store = read_facts(store_texts(docs))
+    found = map_texts(docs.select("doc_id", "text"), ["doc_id"], "text", lambda: lambda texts: [(items(page_of(x)),) for x in texts], f"items array<{ITEM}>")
     names = [f.split()[0] for f in FACTS.split(", ")]
-    return resolve(found, read_facts(stored), "doc_id").select("doc_id", *names, "position", "caption")
+    return resolve(found, store, "doc_id").select("doc_id", *names, "n_items", "position", "caption")

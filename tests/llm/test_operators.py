@@ -2,10 +2,12 @@
 
 import hashlib
 import itertools
+import math
 import random
 import re
 import struct
 import zlib
+from html import unescape
 
 import numpy as np
 import pandas as pd
@@ -326,15 +328,72 @@ def test_media(odd):
         data = (t or "").encode()
         n, payload = media.from_media(media.to_media(data))
         assert n == len(data) and payload == data + bytes(max(64, -(-len(data) // 64) * 64) - len(data))
-    got = sorted((r.doc_id or -1, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.position) for r in media.store_and_read(odd).collect())
+    got = sorted((r.doc_id or -1, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32, r.media_bytes, r.media_sha256, r.feature, r.n_items, r.position, r.caption) for r in media.store_and_read(odd).collect())
     want = []
     for i, t in ODD:
         data = (t or "").encode()
         payload = data + bytes(max(64, -(-len(data) // 64) * 64) - len(data))
-        want.append((i or -1, len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media.to_media(data)), 0))
+        stored = media.to_media(data)
+        lines = [x for x in (t or "").split("\n") if x]
+        shown = [bool(x.split()) for x in lines]  # a line of white space is no item
+        want.append((i or -1, len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), plain_feature(payload), 1 + sum(shown), sum(shown[: len(lines) // 2]), f"{len(data)} bytes"))
     assert got == sorted(want)
 
 
+def plain_feature(payload):
+    """Sample by sample."""
+    n = len(payload) // 64
+    share = [payload.count(v) / len(payload) for v in range(256)]
+    entropy = -sum(p * math.log2(p) for p in share if p)
+    edges = [int(n * k / 8) for k in range(9)]
+    grid = []
+    for a, b in itertools.pairwise(edges):
+        rows = range(a, max(b, a + 1)) if a < n else []
+        grid += [sum(payload[64 * r + 8 * c + k] for r in rows for k in range(8)) / len(rows) if rows else 0.0 for c in range(8)]
+    mean = sum(grid) / 64
+    bits = "".join("1" if g > mean else "0" for g in grid)
+    return f"64x{n};mean={sum(payload) / len(payload):.4f};entropy={entropy:.4f};hash={int(bits, 2):016x}"
+
+
+def plain_items(html):
+    """Tags and texts one after another, by a plain cut at angle brackets."""
+    html = re.sub(r"<!--.*?-->|<(script|style|head)\b.*?</\1>", "", html, flags=re.S)
+    out, words = [], ""
+    for x in [*re.split(r"(<[^>]*>)", html), "<p>"]:
+        tag = re.match(r"</?([a-zA-Z0-9]+)", x)
+        if not tag:
+            words += unescape(x) if not x.startswith("<") else ""
+        elif tag[1] in media.BLOCKS or tag[1] in media.MEDIA_TAGS:
+            if words.split():
+                out.append(("text", " ".join(words.split())))
+            words = ""
+            if tag[1] == "img":
+                out.append(("image", re.search('src="([^"]*)"', x)[1], re.search('alt="([^"]*)"', x)[1]))
+    return out
+
+
+def test_real_pages_are_interleaved(spark):
+    """Real pages with images put between their paragraphs; one digest is stored, one isn't, one source has none."""
+    rows = [(r.page_id, r.html) for r in spark.read.parquet(f"{DATA}/pages.parquet").orderBy("page_id").limit(40).collect() if r.html]
+    known, other = hashlib.sha256(b"k").hexdigest(), hashlib.sha256(b"o").hexdigest()
+    sources = [f"sha256:{known}", f"sha256:{other}", "https://x/y.png"]
+    made = []
+    for i, html in rows:
+        parts = html.split("<p>")
+        made.append((i, "<p>".join(x + (f'<img src="{sources[k % 3]}" alt="caption {k} of {i}">' if 0 < k < len(parts) - 1 else "") for k, x in enumerate(parts))))
+    found = media.sequences(spark.createDataFrame(made, "page_id long, html string").withColumn("items", F.lit("clash")))
+    got = {r.page_id: r["items"] for r in found.collect()}
+    for i, html in made:
+        want = plain_items(html)
+        assert [(x.kind, x.text or x.src) for x in got[i]] == [w[:2] for w in want]
+        assert [x.position for x in got[i]] == list(range(len(want)))
+        assert [x.caption for x in got[i] if x.kind != "text"] == [w[2] for w in want if w[0] != "text"]
+    store = spark.createDataFrame([(known, 7)], "digest string, n_bytes long")
+    refs = media.resolve(found, store).collect()
+    assert len(refs) == sum(w[0] == "image" for _, html in made for w in plain_items(html)) > 40
+    assert all(r.n_bytes == (7 if r.src == sources[0] else None) and r.digest == (r.src[7:] if r.src != sources[2] else None) and got[r.page_id][r.position].caption == r.caption for r in refs)
+
+
 def test_interleaving():
     html = "<body><p>One &amp; two</p><figure><img src='a.png' alt='x'><figcaption>The <b>cat</b></figcaption></figure>tail<script>no</script><img src='b.png' alt='dog'><figure><img src='c.png'>"
     assert [(k, kind, text or src, caption) for k, kind, text, src, _, caption in media.items(html)] == [
