@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 
+@lru_cache(maxsize=1 << 17)
 def jaro_of(a: str, b: str) -> float:
-    """Jaro similarity over bytes: characters match within half the longer length, less one; half the matches out of order count against it."""
+    """Names repeat, so a worker keeps the pairs that it has met last. Jaro similarity over bytes: characters match within half the longer length, less one; half the matches out of order count against it."""
     if a == b:
         return 1.0
     x, y = a.encode(), b.encode()

@@ -16,7 +16,7 @@ def stream_versions(events: DataFrame, start: Column | int = 0) -> DataFrame:
     return events.withColumn("stream_version", number - 1 + (F.lit(start) if isinstance(start, int) else start))
 
 
-def append(log: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+def append(log: DataFrame, batch: DataFrame, parts: int = 64) -> tuple[DataFrame, DataFrame]:
     """(rows to write, rejected streams) of a batch with stream_id, seq, expected_version and the event's columns.
 
     expected_version -2 takes any state, -1 wants a stream that isn't there yet, others the stream's version. One writer appends at a time.
@@ -29,10 +29,17 @@ def append(log: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
     rejected = state.where(~ok).select("stream_id", F.col("wanted").alias("expected_version"), F.col("head").alias("actual_version"))
     rows = batch.join(state.where(ok).select("stream_id", "head"), "stream_id")
     version = F.row_number().over(Window.partitionBy("stream_id").orderBy("seq")) + F.col("head")
-    numbered = rows.withColumn("stream_version", version.cast("long")).crossJoin(F.broadcast(last))
-    # positions follow seq over the whole batch; a batch is what one writer commits at once
-    position = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("seq")) + F.col("last")
-    return numbered.withColumn("position", position.cast("long")).drop("last", "head", "seq", "expected_version"), rejected
+    numbered = rows.withColumn("stream_version", version.cast("long"))
+    # positions follow seq over the whole batch, which is cut at fixed points into parts that are numbered each by itself
+    points = F.array(*[F.lit(k / parts) for k in range(1, parts)])
+    cuts = sorted(set(batch.agg(F.percentile_approx("seq", points, F.lit(10_000))).first()[0] or [])) if parts > 1 else []
+    part = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<long>"), lambda c: c < F.col("seq"))) if cuts else F.lit(0)
+    numbered = numbered.withColumn("part", part)
+    counts = numbered.groupBy("part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.crossJoin(F.broadcast(last)).select("part", (before + F.col("last")).alias("start"))  # a row for each part
+    position = F.row_number().over(Window.partitionBy("part").orderBy("seq")) + F.col("start")
+    return numbered.join(F.broadcast(starts), "part").withColumn("position", position.cast("long")).drop("part", "start", "head", "seq", "expected_version"), rejected
 
 
 def read_all(log: DataFrame, start: int, limit: int) -> DataFrame:
@@ -106,14 +113,13 @@ def position_at(log: DataFrame, times: DataFrame) -> DataFrame:
     marks = log.select(F.col("ts").alias("at"), F.col("position"), F.lit(None).cast("timestamp").alias("asked"))
     asked = times.select("at", F.lit(None).cast("long").alias("position"), F.col("at").alias("asked"))
     day = F.to_date("at")
-    # the last position of all earlier days is looked up, so that no window spans the whole log
-    days = log.groupBy(F.to_date("ts").alias("day")).agg(F.max("position").alias("top"))
-    before = days.select(F.col("day"), F.max("top").over(Window.partitionBy(F.lit(0)).orderBy("day").rowsBetween(Window.unboundedPreceding, Window.currentRow)).alias("upto"))
+    # what all earlier days end with comes from a table of a row for each day, so that no window spans the whole log
+    tops = log.groupBy(F.to_date("ts").alias("day")).agg(F.max("position").alias("top")).unionByName(times.select(day.alias("day"), F.lit(None).cast("long").alias("top")))
+    upto = F.max("top").over(Window.partitionBy(F.lit(0)).orderBy("day").rowsBetween(Window.unboundedPreceding, -1))
+    before = tops.groupBy("day").agg(F.max("top").alias("top")).select("day", upto.alias("upto"))
     own = Window.partitionBy("day").orderBy("at", F.col("asked").isNotNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     found = marks.unionByName(asked).withColumn("day", day).withColumn("within", F.max("position").over(own)).where("asked IS NOT NULL")
-    asked_days = found.select(F.col("asked"), "within", "day")
-    earlier = asked_days.join(F.broadcast(before.withColumnRenamed("day", "d")), F.col("d") < F.col("day"), "left").groupBy("asked", "within").agg(F.max("upto").alias("upto"))
-    return earlier.select(F.col("asked").alias("at"), F.coalesce(F.greatest("within", "upto"), F.lit(-1)).cast("long").alias("position"))
+    return found.join(F.broadcast(before), "day").select(F.col("asked").alias("at"), F.coalesce(F.greatest("within", "upto"), F.lit(-1)).cast("long").alias("position"))
 
 
 def snapshot_at(states: DataFrame, key: str, state: str, position: int) -> DataFrame:

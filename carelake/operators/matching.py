@@ -19,28 +19,26 @@ def blocking_keys(family: Column, birth_date: Column, phone: Column) -> Column:
     return F.array_distinct(F.array_compact(F.array(first, F.when(number != "", F.concat_ws(":", F.lit("p"), number)))))
 
 
-def pairs(records: DataFrame, record_id: str, keys: Column, most: int | None = None) -> DataFrame:
-    """(a, b) with a < b of records that share a key, each pair once.
+def _keyed(records: DataFrame, record_id: str, keys: Column, kept: list[Column]) -> DataFrame:
+    """A row for each record and key, with all of the record's keys."""
+    return records.select(F.col(record_id).alias("id"), F.array_distinct(keys).alias("all"), *kept).withColumn("key", F.explode("all"))
 
-    Keys are the equi-join's; a key with n records makes n * (n - 1) / 2 pairs by nature. most splits such keys: a key with more records is
-    narrowed by the records' next key, given in the same array, as long as there is one.
+
+def sided_pairs(records: DataFrame, record_id: str, keys: Column, columns: list[str] | None = None) -> DataFrame:
+    """(a, b, l, r) with a < b of records that share a key, each pair once, with the named columns of both (all if none are named).
+
+    One join on the keys: a pair that shares several keys is made under the least of them only, so nothing has to be made distinct. A key with n
+    records makes n * (n - 1) / 2 pairs by nature; both sides are shuffled directly, so that adaptive execution can split a wide key.
     """
-    keyed = records.select(F.col(record_id).alias("id"), F.explode(keys).alias("key"))
-    if most:
-        size = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > most).select("key", F.lit(True).alias("wide"))
-        others = records.select(F.col(record_id).alias("id"), F.array_join(F.array_sort(keys), "|").alias("all"))
-        wide = keyed.join(size, "key", "left").join(others, "id")
-        keyed = wide.select("id", F.when(F.col("wide"), F.concat_ws("|", "key", "all")).otherwise(F.col("key")).alias("key"))
-    a, b = keyed.select(F.col("id").alias("a"), "key"), keyed.select(F.col("id").alias("b"), "key")
-    return a.join(b, "key").where("a < b").select("a", "b").distinct()
+    own = F.struct(*(columns or records.columns))
+    a = _keyed(records, record_id, keys, [own.alias("l")]).select(F.col("id").alias("a"), F.col("all").alias("left_keys"), "key", "l")
+    b = _keyed(records, record_id, keys, [own.alias("r")]).select(F.col("id").alias("b"), F.col("all").alias("right_keys"), "key", "r")
+    return a.join(b, "key").where((F.col("a") < F.col("b")) & (F.col("key") == F.array_min(F.array_intersect("left_keys", "right_keys")))).select("a", "b", "l", "r")
 
 
-def with_sides(pair: DataFrame, records: DataFrame, record_id: str) -> DataFrame:
-    """Pairs with both records as structs l and r."""
-    own = F.struct(*records.columns)
-    left = records.select(F.col(record_id).alias("a"), own.alias("l"))
-    right = records.select(F.col(record_id).alias("b"), own.alias("r"))
-    return pair.join(left, "a").join(right, "b")
+def pairs(records: DataFrame, record_id: str, keys: Column) -> DataFrame:
+    """(a, b) with a < b of records that share a key, each pair once; see sided_pairs."""
+    return sided_pairs(records, record_id, keys, [record_id]).select("a", "b")
 
 
 def _present(name: str) -> Column:
@@ -93,7 +91,7 @@ def classify(rule_name: Column, value: Column) -> Column:
 def duplicates(records: DataFrame, record_id: str, keys: Column, weights: dict[str, float] | None = None) -> DataFrame:
     """(a, b, rule, score, class) of all pairs that share a key and are at least possible."""
     columns = records.columns
-    scored = with_sides(pairs(records, record_id, keys), records, record_id).select("a", "b", rule(columns).alias("rule"), score(columns, weights).alias("score"))
+    scored = sided_pairs(records, record_id, keys).select("a", "b", rule(columns).alias("rule"), score(columns, weights).alias("score"))
     return scored.withColumn("class", classify(F.col("rule"), F.col("score"))).where("class <> 'none'")
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,17 +71,47 @@ def fuzzy(concepts: DataFrame, query: str, limit: int, least: float = 0.5) -> Da
     return concepts.withColumn("confidence", tier).where(F.col("confidence") >= least).orderBy(F.desc("confidence"), "code").limit(limit)
 
 
-def top_k(queries: DataFrame, vectors: DataFrame, k: int, least: float, shards: int = 64) -> DataFrame:
-    """(query_id, vec_id, score) of the k nearest by cosine for each query (query_id, asked), exactly, over all vectors.
+def top_k(queries: DataFrame, vectors: DataFrame, k: int, least: float = -1.0, block: int = 8192, asked_block: int = 1024) -> DataFrame:
+    """(query_id, vec_id, score) of the k nearest by cosine for each query (query_id, asked), exactly, over all vectors but the query's own.
 
-    The queries are a stated set; each shard of vectors meets each of them and keeps its own k best before the results are put together.
+    The queries are a stated set: each block of vectors meets each block of queries in a matrix product, and keeps its own k best of each query
+    before the results are put together. Scores have five decimals; equal ones go by vec_id. Vectors of other lengths, and nulls, score 0.
     """
-    spread = vectors.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)))
-    asked = queries.select("query_id", "asked", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    scored = asked.join(spread, "shard").select("query_id", "vec_id", "shard", F.round(similarity.cosine(F.col("asked"), F.col("embedding")), 5).alias("score")).where((F.col("score") >= least) & (F.col("query_id") != F.col("vec_id")))
-    order = [F.desc("score"), "vec_id"]
-    local = scored.withColumn("place", F.row_number().over(Window.partitionBy("query_id", "shard").orderBy(*order))).where(F.col("place") <= k)
-    return local.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("place") <= k).select("query_id", "vec_id", "score")
+    context = queries.sparkSession.sparkContext
+    shards, parts = max(context.defaultParallelism, -(-vectors.count() // block)), max(1, -(-queries.count() // asked_block))
+    spread = vectors.select("vec_id", "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    asked = queries.select("query_id", "asked", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int").alias("part"))
+
+    def unit(rows: pd.Series) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        """By length: places and unit vectors."""
+        sizes = np.array([-1 if x is None else len(x) for x in rows])
+        out = {}
+        for d in set(sizes.tolist()) - {-1, 0}:
+            at = np.nonzero(sizes == d)[0]
+            m = np.stack([np.asarray(rows.iloc[i], float) for i in at])
+            norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
+            out[d] = at, np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+        return out
+
+    def meet(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
+        found = np.zeros((len(q), len(v)))
+        a, b = unit(q["asked"]), unit(v["embedding"])
+        for d in a.keys() & b.keys():
+            found[np.ix_(a[d][0], b[d][0])] = a[d][1] @ b[d][1].T
+        found = np.sign(found) * np.floor(np.abs(found) * 1e5 + 0.5) / 1e5
+        ids, out = v["vec_id"].to_numpy(), []
+        for query, row in zip(q["query_id"].tolist(), found, strict=True):
+            at = np.nonzero((row >= least) & (ids != query))[0]
+            if len(at) > k:
+                at = at[row[at] >= np.partition(row[at], len(at) - k)[len(at) - k]]
+            best = at[np.lexsort((ids[at], -row[at]))[:k]]
+            out += [(query, ids[i], row[i]) for i in best]
+        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
+
+    kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, vec_id {vectors.schema['vec_id'].dataType.simpleString()}, score double"
+    local = asked.groupBy("shard", "part").cogroup(spread.groupBy("shard", "part")).applyInPandas(meet, kinds)
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return local.withColumn("place", place).where(F.col("place") <= k).select("query_id", "vec_id", "score")
 
 
 def hybrid(exact: DataFrame, semantic: DataFrame, weight: float) -> DataFrame:

@@ -50,13 +50,8 @@ def benefit_grouping(spark, sf_dir):
     return claims.benefits(_benefits(spark, sf_dir))
 
 
-@query(f"WITH {BENEFITS.replace('FROM part', 'FROM part WHERE p_size < 4')} SELECT member, CASE WHEN bool_or(info_code IN ('6', '7', '8')) THEN 'inactive' WHEN bool_or(info_code IN ('1', '2', '3', '4', '5')) THEN 'active' ELSE 'unknown' END AS status FROM benefits GROUP BY 1")
-def eligibility_status(spark, sf_dir):
-    return claims.eligibility(_benefits(spark, sf_dir).where("p_size < 4"), "member")
-
-
 @query(f"WITH {BENEFITS} SELECT member, CASE WHEN bool_or(info_code IN ('6', '7', '8')) THEN 'inactive' WHEN bool_or(info_code IN ('1', '2', '3', '4', '5')) THEN 'active' ELSE 'unknown' END AS status FROM benefits GROUP BY 1")
-def eligibility_status_whole(spark, sf_dir):
+def eligibility_status(spark, sf_dir):
     return claims.eligibility(_benefits(spark, sf_dir), "member")
 
 
@@ -67,11 +62,11 @@ def claim_status(spark, sf_dir):
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("claim"), claims.claim_status(stc).alias("status"))
 
 
-@query("""WITH a AS (SELECT l_orderkey AS claim, l_linenumber AS line, l_partkey AS part, l_quantity AS q, l_tax AS t FROM lineitem WHERE l_returnflag = 'N')
+@query("""WITH a AS (SELECT l_orderkey AS claim, l_linenumber AS line, l_partkey AS part, l_quantity AS q, l_tax AS t FROM lineitem)
 SELECT claim, line, part, CAST(CASE WHEN t = 0 THEN 1 ELSE 2 END AS BIGINT) AS adjustments, round(q + t * 100, 2) AS patient FROM a""")
 def cas_adjustments(spark, sf_dir):
     segment = F.array(F.lit("CAS"), F.lit("PR"), F.lit("1"), F.col("l_quantity").cast("string"), F.lit(""), F.when(F.col("l_tax") == 0, "").otherwise("2"), (F.col("l_tax") * 100).cast("string"))
-    rows = table(spark, sf_dir, "lineitem").where("l_returnflag = 'N'").withColumn("segment", segment)
+    rows = table(spark, sf_dir, "lineitem").withColumn("segment", segment)
     return rows.select(F.col("l_orderkey").alias("claim"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"), F.size(claims.adjustments(F.col("segment"))).cast("long").alias("adjustments"), F.round(claims.patient_share(F.col("segment")), 2).alias("patient"))
 
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import identifiers, similarity
-from ..operators import matching
+from ..operators import matching, terminology
 from .register import query, table
 
 
@@ -147,7 +147,7 @@ SCORE = f"""({_jw('lf', 'rf')} * 0.15::DOUBLE + {_jw('lg', 'rg')} * 0.10::DOUBLE
 
 def _pairs(spark, sf_dir) -> DataFrame:
     p = people(spark, sf_dir)
-    return matching.with_sides(matching.pairs(p, "id", F.array(F.concat_ws(":", "birth_year", "zip"))), p, "id")
+    return matching.sided_pairs(p, "id", F.array(F.concat_ws(":", "birth_year", "zip")), [c for c in p.columns if c != "id"])
 
 
 @query(f"WITH {PAIRS} SELECT a, b FROM pairs")
@@ -155,9 +155,19 @@ def blocking_pairs(spark, sf_dir):
     return _pairs(spark, sf_dir).select("a", "b")
 
 
-@query(f"""WITH {PAIRS} SELECT a, b, CASE WHEN lm = rm THEN 'MBI_EXACT' END AS rule FROM pairs WHERE lm = rm""")
+RULED = f"""{PEOPLE}, known AS (SELECT *, birth_year AS birth_date, CASE WHEN id % 6 = 0 THEN 'N' || (id // 30) END AS ssn, 'R' || (id % 500) AS mrn, CASE WHEN id % 4 = 0 THEN 'A' ELSE 'B' END AS system FROM people)"""
+
+
+@query(f"""WITH {RULED}, ruled AS (SELECT l.id AS a, r.id AS b, CASE WHEN l.ssn = r.ssn THEN 'SSN_EXACT' WHEN l.mbi = r.mbi THEN 'MBI_EXACT' WHEN l.mrn = r.mrn AND l.system = r.system THEN 'MRN_SYSTEM'
+  WHEN l.family = r.family AND l.given = r.given AND l.birth_date = r.birth_date AND l.gender = r.gender THEN 'NAME_DOB_GENDER'
+  WHEN l.family = r.family AND l.given = r.given AND l.birth_date = r.birth_date AND l.zip = r.zip THEN 'NAME_DOB_ZIP' END AS rule FROM known l JOIN known r ON l.birth_year = r.birth_year AND l.id < r.id)
+SELECT a, b, rule FROM ruled WHERE rule IS NOT NULL""")
 def deterministic_match(spark, sf_dir):
-    return _pairs(spark, sf_dir).select("a", "b", matching.rule(["mbi"]).alias("rule")).where("rule IS NOT NULL")
+    """All five rules, over people of one birth year."""
+    k = F.col("id")
+    p = people(spark, sf_dir).withColumns({"birth_date": F.col("birth_year"), "ssn": F.when(k % 6 == 0, F.concat(F.lit("N"), F.floor(k / 30).cast("string"))), "mrn": F.concat(F.lit("R"), (k % 500).cast("string")), "system": F.when(k % 4 == 0, "A").otherwise("B")})
+    met = matching.sided_pairs(p, "id", F.array(F.col("birth_year").cast("string")), [c for c in p.columns if c not in ("id", "birth_year")])
+    return met.select("a", "b", matching.rule(p.columns).alias("rule")).where("rule IS NOT NULL")
 
 
 @query(f"WITH {PAIRS} SELECT a, b, round({SCORE}, 6) AS score FROM pairs")
@@ -196,11 +206,8 @@ def mpi_merge(spark, sf_dir):
     return matching.merged(links, merges).select("a", "b")
 
 
-@query("""WITH e AS (SELECT vec_id, embedding, label FROM embeddings), q AS (SELECT * FROM e WHERE vec_id % 50 = 0),
-s AS (SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 5) AS score FROM q JOIN e ON q.label = e.label AND q.vec_id <> e.vec_id)
+@query("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(q.v, e.v), 5) AS score FROM e q JOIN e ON q.vec_id % 50 = 0 AND q.vec_id <> e.vec_id)
 SELECT query_id, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM s) WHERE place <= 5""")
 def vector_topk(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    q = e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("asked"), "label")
-    met = q.join(e, "label").where("query_id <> vec_id").select("query_id", "vec_id", F.round(similarity.cosine(F.col("asked"), F.col("embedding")), 5).alias("score"))
-    return met.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where("place <= 5").drop("place")
+    return terminology.top_k(e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("asked")), e, 5)

@@ -43,9 +43,9 @@ def message_batch_split(spark, sf_dir):
     return parts.select("conv_id", F.col("message").cast("long").alias("message"), F.size(F.split("raw", "\r")).cast("long").alias("segments"))
 
 
-def edi_files(spark, sf_dir, kept: str = "l_linenumber <= 3") -> DataFrame:
-    """An 837 for each order with those of its lines that are kept as service lines."""
-    lines = table(spark, sf_dir, "lineitem").where(kept).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity", "l_extendedprice"))).alias("lines"))
+def edi_files(spark, sf_dir) -> DataFrame:
+    """An 837 for each order with its lines as service lines."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity", "l_extendedprice"))).alias("lines"))
     service = F.array_join(F.transform("lines", lambda x, i: F.concat(F.lit("LX*"), (i + 1).cast("string"), F.lit("~SV1*HC:"), x["l_partkey"].cast("string"), F.lit("*"), x["l_extendedprice"].cast("string"), F.lit("*UN*"), x["l_quantity"].cast("string"), F.lit("~"))), "")
     o = table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
     k = F.col("o_orderkey").cast("string")
@@ -55,21 +55,13 @@ def edi_files(spark, sf_dir, kept: str = "l_linenumber <= 3") -> DataFrame:
 
 
 @query("""SELECT o_orderkey AS claim_id, o_totalprice AS charge, o_custkey AS member, '11' AS place, '1234567893' AS npi, 'E119,I10' AS diagnoses, count(*) AS lines, round(max(l_extendedprice), 2) AS highest
-FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_linenumber <= 3 GROUP BY ALL""")
+FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL""")
 def edi_parse_roundtrip(spark, sf_dir):
     rows = x12.enveloped(x12.segments(edi_files(spark, sf_dir)))
     c = x12.claims_837(rows)
     return c.select(F.col("claim_id").cast("long").alias("claim_id"), "charge", F.col("subscriber.member_id").cast("long").alias("member"), "place", F.col("billing.npi").alias("npi"), F.array_join("diagnoses", ",").alias("diagnoses"), F.size("lines").cast("long").alias("lines"), F.round(F.array_max(F.transform("lines", lambda x: x["charge"])), 2).alias("highest"))
 
 
-@query("""SELECT o_orderkey AS claim_id, o_totalprice AS charge, o_custkey AS member, '11' AS place, '1234567893' AS npi, 'E119,I10' AS diagnoses, count(*) AS lines, round(max(l_extendedprice), 2) AS highest
-FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL""")
-def edi_parse_roundtrip_whole(spark, sf_dir):
-    rows = x12.enveloped(x12.segments(edi_files(spark, sf_dir, "true")))
-    c = x12.claims_837(rows)
-    return c.select(F.col("claim_id").cast("long").alias("claim_id"), "charge", F.col("subscriber.member_id").cast("long").alias("member"), "place", F.col("billing.npi").alias("npi"), F.array_join("diagnoses", ",").alias("diagnoses"), F.size("lines").cast("long").alias("lines"), F.round(F.array_max(F.transform("lines", lambda x: x["charge"])), 2).alias("highest"))
-
-
 def payment_files(spark, sf_dir) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     k, price = F.col("o_orderkey").cast("string"), F.col("o_totalprice").cast("string")

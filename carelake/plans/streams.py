@@ -15,6 +15,8 @@ from .register import query
 def _folders(spark) -> tuple[str, str]:
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         import tempfile
 
         base = f"file://{tempfile.mkdtemp(prefix='carelake-')}"
@@ -47,8 +49,11 @@ def stream_statistics(spark, sf_dir):
 @query(f"""WITH {LOG}, ends AS (SELECT stream_id, arg_max(event_type, (ts, position)) AS kind FROM log WHERE event_type IN ('signup', 'purchase', 'error') GROUP BY 1) SELECT stream_id FROM ends WHERE kind = 'signup'""")
 def stream_last_state(spark, sf_dir):
     """Keyed state in RocksDB, which transformWithState asks for."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    rows = _collected(spark, folds.active(_stream(spark, sf_dir), ["signup"], ["click"], ["purchase", "error"], "data"), "update")
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        rows = _collected(spark, folds.active(_stream(spark, sf_dir), ["signup"], ["click"], ["purchase", "error"], "data"), "update")
+    finally:  # the session's other queries keep their own
+        spark.conf.set(key, before) if before else spark.conf.unset(key)
     return rows.groupBy("stream_id").agg(F.max_by("active", "batch").alias("active")).where("active").select("stream_id")
-
-
