@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import identifiers
+from ..functions import clinical, codelists, identifiers
 
 # Profiles and code systems.
 US_CORE = "http://hl7.org/fhir/us/core/StructureDefinition/us-core-"
@@ -90,32 +90,74 @@ def immunization(*a: Column) -> Column:
     return simple("Immunization", "immunization", *a, "completed", "vaccineCode", "patient", "occurrenceDateTime")
 
 
-def medication_request(*a: Column) -> Column:
-    return simple("MedicationRequest", "medicationrequest", *a, "active", "medicationCodeableConcept", "subject", "authoredOn")
+def _status_concept(kind: str, code: Column) -> Column:
+    return F.struct(F.array(F.struct(F.lit(f"http://terminology.hl7.org/CodeSystem/{kind}").alias("system"), code.alias("code"))).alias("coding"))
+
+
+def medication_request(
+    key: Column, patient_key: Column, code: Column, display: Column, code_system: Column, at: Column,
+    status: Column | None = None, intent: Column | None = None, dose: Column | None = None, unit: Column | None = None, route: Column | None = None, frequency: Column | None = None,
+    quantity: Column | None = None, refills: Column | None = None,
+) -> Column:
+    """MedicationRequest with its dosage (text, timing, route, dose) and what is to be dispensed; unknown statuses are unknown, unknown intents orders."""
+    none = F.lit(None).cast("string")
+    dose, unit, route, frequency = (none if x is None else x for x in (dose, unit, route, frequency))
+    sig = F.nullif(F.concat_ws(" ", dose, unit, route, frequency), F.lit(""))
+    way = clinical.known(clinical.ROUTES, F.lower(F.trim(route)))
+    amount = clinical.dose_quantity(dose, unit)
+    dosage = F.struct(
+        sig.alias("text"), clinical.timing(frequency).alias("timing"), F.when(route.isNotNull(), F.struct(F.when(way.isNotNull(), F.array(F.struct(F.lit(SYSTEMS["SNOMED"]).alias("system"), way.alias("code")))).alias("coding"), route.alias("text"))).alias("route"),
+        F.when(amount.isNotNull(), F.array(F.struct(amount.alias("doseQuantity")))).alias("doseAndRate"),
+    )
+    number = F.lit(None).cast("int") if refills is None else refills.cast("int")
+    supply = F.lit(None).cast("double") if quantity is None else quantity.cast("double")
+    dispense = F.when(number.isNotNull() | supply.isNotNull(), F.struct(number.alias("numberOfRepeatsAllowed"), F.when(supply.isNotNull(), F.struct(supply.alias("value"))).alias("quantity")))
+    return _member(
+        "MedicationRequest", "medicationrequest", key, status=F.lit("active") if status is None else clinical.one_of(F.coalesce(status, F.lit("active")), clinical.ORDER_STATUSES, "unknown"),
+        intent=F.lit("order") if intent is None else clinical.one_of(F.coalesce(intent, F.lit("order")), clinical.ORDER_INTENTS, "order"), medicationCodeableConcept=concept(code, display, code_system),
+        subject=reference("Patient", patient_key), authoredOn=time_text(at), dosageInstruction=F.when(sig.isNotNull(), F.array(dosage)), dispenseRequest=dispense,
+    )
+
 
+def allergy(key: Column, patient_key: Column, code: Column, display: Column, code_system: Column, at: Column, clinical_status: Column | None = None, criticality: Column | None = None, reactions: Column | None = None) -> Column:
+    """AllergyIntolerance; reactions: array of structs of manifestation and severity."""
+    state = clinical.one_of(F.coalesce(clinical_status, F.lit("active")), ["active", "inactive", "resolved"], "active") if clinical_status is not None else F.lit("active")
+    own = F.lit(None).cast("array<struct<manifestation:array<struct<text:string>>,severity:string>>")
+    if reactions is not None:
+        own = F.transform(reactions, lambda r: F.struct(F.array(F.struct(r["manifestation"].alias("text"))).alias("manifestation"), F.when(F.lower(r["severity"]).isin("mild", "moderate", "severe"), F.lower(r["severity"])).alias("severity")))
+    risk = F.lit(None).cast("string") if criticality is None else F.when(F.lower(criticality).isin("low", "high", "unable-to-assess"), F.lower(criticality))
+    return _member("AllergyIntolerance", "allergyintolerance", key, clinicalStatus=_status_concept("allergyintolerance-clinical", state), verificationStatus=_status_concept("allergyintolerance-verification", F.lit("confirmed")), criticality=risk, code=concept(code, display, code_system), patient=reference("Patient", patient_key), recordedDate=time_text(at), reaction=own)
 
-def allergy(*a: Column) -> Column:
-    return simple("AllergyIntolerance", "allergyintolerance", *a, "active", "code", "patient", "recordedDate")
 
+def service_request(key: Column, patient_key: Column, code: Column, display: Column, code_system: Column, at: Column) -> Column:
+    return _member("ServiceRequest", "servicerequest", key, status=F.lit("active"), intent=F.lit("order"), code=concept(code, display, code_system), subject=reference("Patient", patient_key), authoredOn=time_text(at))
 
-def service_request(*a: Column) -> Column:
-    return simple("ServiceRequest", "servicerequest", *a, "active", "code", "subject", "authoredOn")
 
+def document_reference(key: Column, patient_key: Column, code: Column, display: Column, code_system: Column, at: Column, text: Column | None = None) -> Column:
+    """DocumentReference with its text as an attachment."""
+    data = F.base64(F.encode(F.coalesce(text if text is not None else F.lit(""), F.lit("")), "UTF-8"))
+    return _member("DocumentReference", "documentreference", key, status=F.lit("current"), type=concept(code, display, code_system), subject=reference("Patient", patient_key), date=time_text(at), content=F.array(F.struct(F.struct(F.lit("text/plain").alias("contentType"), data.alias("data")).alias("attachment"))))
 
-def document_reference(*a: Column) -> Column:
-    return simple("DocumentReference", "documentreference", *a, "current", "type", "subject", "date")
 
+def diagnostic_report(key: Column, patient_key: Column, code: Column, display: Column, code_system: Column, at: Column, results: Column | None = None) -> Column:
+    """DiagnosticReport; results: array of keys of its observations."""
+    own = F.lit(None).cast("array<struct<reference:string>>") if results is None else F.transform(results, lambda k: F.struct(F.concat(F.lit("Observation/"), k.cast("string")).alias("reference")))
+    return _member("DiagnosticReport", "diagnosticreport-lab", key, status=F.lit("final"), category=F.array(F.struct(F.array(F.struct(F.lit("http://terminology.hl7.org/CodeSystem/v2-0074").alias("system"), F.lit("LAB").alias("code"))).alias("coding"))), code=concept(code, display, code_system), subject=reference("Patient", patient_key), effectiveDateTime=time_text(at), result=own)
 
-def diagnostic_report(*a: Column) -> Column:
-    return simple("DiagnosticReport", "diagnosticreport-note", *a, "final", "code", "subject", "effectiveDateTime")
 
+def goal(key: Column, patient_key: Column, code: Column, display: Column, code_system: Column, start: Column) -> Column:
+    return _member("Goal", "goal", key, lifecycleStatus=F.lit("active"), description=concept(code, display, code_system), subject=reference("Patient", patient_key), startDate=date_text(start))
 
-def goal(*a: Column) -> Column:
-    return simple("Goal", "goal", *a, "active", "description", "subject", "startDate")
 
+def care_plan(key: Column, patient_key: Column, code: Column, display: Column, code_system: Column, at: Column) -> Column:
+    return _member("CarePlan", "careplan", key, status=F.lit("active"), intent=F.lit("plan"), category=F.array(concept(code, display, code_system)), subject=reference("Patient", patient_key), created=time_text(at))
 
-def care_plan(*a: Column) -> Column:
-    return simple("CarePlan", "careplan", *a, "active", "category", "subject", "created")
+
+def vital_sign(key: Column, patient_key: Column, name: Column, value: Column, unit: Column, at: Column, code: Column | None = None) -> Column:
+    """Observation of a vital sign; a code that isn't given is inferred from the name, units become unified codes."""
+    found = clinical.vital_code(name)
+    own = found if code is None else F.coalesce(code, found)
+    return observation(key, patient_key, own, name, F.lit("LOINC"), value, clinical.vital_unit(unit), F.lit(None).cast("string"), F.lit("F"), at, "vital-signs")
 
 
 def _member(kind: str, profile: str, key: Column, **fields: Column) -> Column:
@@ -164,20 +206,77 @@ def coverage(key: Column, patient_key: Column, payer: Column, member_id: Column,
     return _member("Coverage", "coverage", key, status=F.when(active, "active").otherwise("cancelled"), subscriberId=member_id, beneficiary=reference("Patient", patient_key), payor=F.array(F.struct(payer.alias("display"))))
 
 
-def claim(key: Column, patient_key: Column, total: Column, created: Column, lines: Column, line: str = "number", procedure_code: str = "procedure", charge: str = "charge") -> Column:
-    """Claim with its items from an array of line structs; money is in dollars."""
-    money = lambda x: F.struct(x.alias("value"), F.lit("USD").alias("currency"))
-    items = F.transform(lines, lambda x: F.struct(x[line].alias("sequence"), F.struct(F.array(F.struct(F.lit(SYSTEMS["CPT"]).alias("system"), x[procedure_code].cast("string").alias("code"))).alias("coding")).alias("productOrService"), money(x[charge]).alias("net")))
-    return F.struct(F.lit("Claim").alias("resourceType"), key.cast("string").alias("id"), F.lit("active").alias("status"), F.lit("claim").alias("use"), reference("Patient", patient_key).alias("patient"), time_text(created).alias("created"), money(total).alias("total"), items.alias("item"))
+def _money(x: Column) -> Column:
+    return F.struct(x.alias("value"), F.lit("USD").alias("currency"))
+
+
+CLAIM_TYPE = "http://terminology.hl7.org/CodeSystem/claim-type"
+
+
+def _insurance(coverage_key: Column) -> Column:
+    return F.array(F.struct(F.lit(1).alias("sequence"), F.lit(True).alias("focal"), F.struct(F.concat(F.lit("Coverage/"), coverage_key.cast("string")).alias("reference")).alias("coverage")))
+
+
+def claim(key: Column, patient_key: Column, total: Column, created: Column, lines: Column, line: str = "number", procedure_code: str = "procedure", charge: str = "charge", provider: Column | None = None, diagnoses: Column | None = None) -> Column:
+    """Claim with its items from an array of line structs, and its diagnoses from an array of codes; money is in dollars. The coverage has the patient's key."""
+    items = F.transform(lines, lambda x: F.struct(x[line].alias("sequence"), F.struct(F.array(F.struct(F.lit(SYSTEMS["CPT"]).alias("system"), x[procedure_code].cast("string").alias("code"))).alias("coding")).alias("productOrService"), _money(x[charge]).alias("net")))
+    coded = F.lit(None).cast("array<struct<sequence:int,diagnosisCodeableConcept:struct<coding:array<struct<system:string,code:string>>>>>")
+    if diagnoses is not None:
+        coded = F.transform(diagnoses, lambda d, k: F.struct((k + 1).alias("sequence"), F.struct(F.array(F.struct(F.lit(SYSTEMS["ICD-10-CM"]).alias("system"), d.alias("code"))).alias("coding")).alias("diagnosisCodeableConcept")))
+    by = F.struct((provider if provider is not None else F.lit("unknown")).alias("display"))
+    return F.struct(
+        F.lit("Claim").alias("resourceType"), key.cast("string").alias("id"), F.lit("active").alias("status"), F.struct(F.array(F.struct(F.lit(CLAIM_TYPE).alias("system"), F.lit("professional").alias("code"))).alias("coding")).alias("type"), F.lit("claim").alias("use"),
+        reference("Patient", patient_key).alias("patient"), time_text(created).alias("created"), by.alias("provider"), F.struct(F.array(F.struct(F.lit("normal").alias("code"))).alias("coding")).alias("priority"),
+        coded.alias("diagnosis"), _insurance(patient_key).alias("insurance"), _money(total).alias("total"), items.alias("item"),
+    )
 
 
-def explanation(key: Column, claim_key: Column, patient_key: Column, submitted: Column, benefit: Column, patient_share: Column) -> Column:
+def explanation(key: Column, claim_key: Column, patient_key: Column, submitted: Column, benefit: Column, patient_share: Column, created: Column | None = None, insurer: Column | None = None, provider: Column | None = None) -> Column:
     """Explanation of benefit: totals of what was submitted (if any), paid, and left to the patient."""
+
     def entry(code: str, amount: Column) -> Column:
-        return F.struct(F.struct(F.array(F.struct(F.lit(code).alias("code"))).alias("coding")).alias("category"), F.struct(amount.cast("double").alias("value"), F.lit("USD").alias("currency")).alias("amount"))
+        return F.struct(F.struct(F.array(F.struct(F.lit(code).alias("code"))).alias("coding")).alias("category"), _money(amount.cast("double")).alias("amount"))
 
     totals = F.array_compact(F.array(F.when(submitted > 0, entry("submitted", submitted)), entry("benefit", benefit), F.when(patient_share > 0, entry("deductible", patient_share))))
-    return F.struct(F.lit("ExplanationOfBenefit").alias("resourceType"), key.cast("string").alias("id"), F.lit("active").alias("status"), F.lit("complete").alias("outcome"), reference("Claim", claim_key).alias("claim"), reference("Patient", patient_key).alias("patient"), totals.alias("total"))
+    named = lambda x: F.struct((x if x is not None else F.lit("unknown")).alias("display"))
+    return F.struct(
+        F.lit("ExplanationOfBenefit").alias("resourceType"), key.cast("string").alias("id"), F.lit("active").alias("status"), F.struct(F.array(F.struct(F.lit(CLAIM_TYPE).alias("system"), F.lit("professional").alias("code"))).alias("coding")).alias("type"),
+        F.lit("claim").alias("use"), reference("Patient", patient_key).alias("patient"), time_text(created if created is not None else F.lit("1970-01-01").cast("timestamp")).alias("created"), named(insurer).alias("insurer"), named(provider).alias("provider"),
+        F.lit("complete").alias("outcome"), reference("Claim", claim_key).alias("claim"), _insurance(patient_key).alias("insurance"), totals.alias("total"),
+    )
+
+
+def eligibility_response(key: Column, patient_key: Column, created: Column, insurer: Column, status: Column, benefits: Column) -> Column:
+    """CoverageEligibilityResponse from a member's status and an array of benefit structs (service_type, info_code, amount, in_network)."""
+    item = F.transform(benefits, lambda b: F.struct(
+        F.struct(codelists.described(b["service_type"], "service").alias("text")).alias("category"), F.struct(F.array(F.struct(F.when(b["in_network"], "in").otherwise("out").alias("code"))).alias("coding")).alias("network"),
+        F.array(F.struct(F.struct(codelists.described(b["info_code"], "benefit").alias("text")).alias("type"), F.when(b["amount"].isNotNull(), _money(b["amount"])).alias("allowedMoney"))).alias("benefit"),
+    ))
+    covered = F.array(F.struct(F.struct(F.concat(F.lit("Coverage/"), patient_key.cast("string")).alias("reference")).alias("coverage"), (status == "active").alias("inforce"), item.alias("item")))
+    return F.struct(
+        F.lit("CoverageEligibilityResponse").alias("resourceType"), key.cast("string").alias("id"), F.lit("active").alias("status"), F.array(F.lit("benefits")).alias("purpose"), reference("Patient", patient_key).alias("patient"), time_text(created).alias("created"),
+        F.struct(F.concat(F.lit("CoverageEligibilityRequest/"), key.cast("string")).alias("reference")).alias("request"), F.when(status == "unknown", "error").otherwise("complete").alias("outcome"), F.struct(insurer.alias("display")).alias("insurer"), covered.alias("insurance"),
+    )
+
+
+def by_event(events: DataFrame) -> DataFrame:
+    """events (event_type, control_id, patient, encounter, results) with resources: an array of JSON texts, and unsupported: why there is none.
+
+    Admissions, discharges, transfers and registrations give a patient and an encounter, results a patient, an observation each and a report;
+    any other event with a patient gives the patient alone.
+    """
+    p, e = F.col("patient"), F.col("encounter")
+    who = to_json(patient(p["mrn"], p["mrn"], p["family"], p["given"], p["gender"], p["birth_date"], p["phone"], p["zip"]))
+    visit = to_json(encounter(F.coalesce(e["id"], F.col("control_id")), p["mrn"], e["class"], e["admitted"], e["discharged"]))
+    name = lambda k: F.concat_ws("-", F.col("control_id"), (k + 1).cast("string"))
+    found = F.transform("results", lambda r, k: to_json(observation(name(k), p["mrn"], r["code"], r["name"], F.when(r["system"] == "LN", "LOINC").otherwise(r["system"]), r["value"], r["unit"], r["flag"], r["status"], r["observed"])))
+    first = F.get("results", F.lit(0))
+    report = to_json(diagnostic_report(F.col("control_id"), p["mrn"], first["code"], first["name"], F.when(first["system"] == "LN", "LOINC").otherwise(first["system"]), first["observed"], F.transform("results", lambda r, k: name(k))))
+    kind = F.col("event_type")
+    made = (
+        F.when(kind == "lab_result", F.concat(F.array(who), found, F.array(report))).when(kind.isin("patient_admit", "patient_discharge", "patient_transfer", "patient_register") & e.isNotNull(), F.array(who, visit)).otherwise(F.array(who))
+    )
+    return events.withColumns({"resources": F.when(p.isNotNull(), made).otherwise(F.array().cast("array<string>")), "unsupported": F.when(p.isNull(), F.concat(F.lit("unsupported event type: "), F.coalesce(kind, F.lit(""))))})
 
 
 def to_json(resource: Column) -> Column:
@@ -194,7 +293,18 @@ def bundles(resources: DataFrame, group: str, resource: str = "resource", kind:
 
 
 # What a resource of a kind must have.
-REQUIRED = {"Patient": ["identifier", "name", "gender"], "Encounter": ["status", "class", "subject"], "Observation": ["status", "code", "subject"], "Condition": ["code", "subject"], "Procedure": ["status", "code", "subject"], "Immunization": ["status", "vaccineCode", "patient"]}
+REQUIRED = {
+    "Patient": ["identifier", "name", "gender"], "Encounter": ["status", "class", "subject"], "Observation": ["status", "code", "subject"], "Condition": ["code", "subject"], "Procedure": ["status", "code", "subject"],
+    "Immunization": ["status", "vaccineCode", "patient"], "MedicationRequest": ["status", "intent", "medicationCodeableConcept", "subject"], "AllergyIntolerance": ["clinicalStatus", "code", "patient"],
+    "ServiceRequest": ["status", "intent", "code", "subject"], "CarePlan": ["status", "intent", "category", "subject"], "Goal": ["lifecycleStatus", "description", "subject"], "CareTeam": ["status", "subject", "participant"],
+    "DocumentReference": ["status", "type", "subject", "content"], "DiagnosticReport": ["status", "category", "code", "subject"], "Coverage": ["status", "beneficiary", "payor"],
+    "Claim": ["status", "type", "use", "patient", "created", "provider", "priority", "insurance"], "ExplanationOfBenefit": ["status", "type", "use", "patient", "created", "insurer", "provider", "outcome", "insurance"],
+    "CoverageEligibilityResponse": ["status", "purpose", "patient", "created", "request", "outcome", "insurer"], "Organization": ["active", "name"], "Practitioner": ["name"], "PractitionerRole": ["practitioner", "organization"],
+    "Location": ["name"], "RelatedPerson": ["active", "patient"], "Provenance": ["target", "recorded", "agent"],
+}
+# Elements that a kind doesn't have, and elements that are lists.
+FOREIGN = {"AllergyIntolerance": ["status"], "Goal": ["status"], "Condition": ["status"]}
+LISTS = {"CarePlan": ["category"], "MedicationRequest": ["dosageInstruction"], "Claim": ["insurance"], "DocumentReference": ["content"]}
 
 
 def issues(resource: Column) -> Column:
@@ -202,6 +312,8 @@ def issues(resource: Column) -> Column:
     kind = F.get_json_object(resource, "$.resourceType")
     tests = [F.when(kind.isNull(), "error:structure:resourceType")]
     tests += [F.when((kind == k) & F.get_json_object(resource, f"$.{f}").isNull(), f"error:required:{k}.{f}") for k, fields in REQUIRED.items() for f in fields]
+    tests += [F.when((kind == k) & F.get_json_object(resource, f"$.{f}").isNotNull(), f"error:unknown:{k}.{f}") for k, fields in FOREIGN.items() for f in fields]
+    tests += [F.when((kind == k) & ~F.get_json_object(resource, f"$.{f}").startswith("["), f"error:structure:{k}.{f}") for k, fields in LISTS.items() for f in fields]
     born = F.get_json_object(resource, "$.birthDate")
     tests.append(F.when(born.isNotNull() & ~born.rlike("^[0-9]{4}(-[0-9]{2}(-[0-9]{2})?)?$"), "error:value:birthDate"))
     return F.array_compact(F.array(*tests))

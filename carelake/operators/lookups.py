@@ -168,6 +168,18 @@ SYNONYMS = [
     ["ASPARTATE AMINOTRANSFERASE", "AST", "SGOT"],
 ]
 
+# Laboratory tests and panels by the names that orders use.
+LAB_CODES = {
+    "WBC": "6690-2", "RBC": "789-8", "HGB": "718-7", "HCT": "4544-3", "PLT": "777-3", "MCV": "787-2", "MCH": "785-6", "MCHC": "786-4", "GLUCOSE": "2345-7", "BUN": "3094-0", "CREATININE": "2160-0", "SODIUM": "2951-2",
+    "POTASSIUM": "2823-3", "CHLORIDE": "2075-0", "CO2": "2028-9", "CALCIUM": "17861-6", "MAGNESIUM": "19123-9", "ALT": "1742-6", "AST": "1920-8", "ALP": "6768-6", "BILIRUBIN": "1975-2", "ALBUMIN": "1751-7", "PROTEIN": "2885-2",
+    "CHOLESTEROL": "2093-3", "HDL": "2085-9", "LDL": "2089-1", "TRIGLYCERIDE": "2571-8", "TSH": "3016-3", "T3": "3053-6", "T4": "3026-2", "FREE_T4": "3024-7", "TROPONIN_I": "10839-9", "TROPONIN_T": "6598-7", "BNP": "30934-4",
+    "PRBNP": "33762-6", "PT": "5902-2", "INR": "6301-6", "PTT": "3173-2", "HBA1C": "4548-4", "UA_GLUCOSE": "2350-7", "UA_PROTEIN": "2888-6", "UA_BLOOD": "5794-3", "UA_PH": "2756-5", "UA_SPECIFIC_GRAVITY": "2965-2",
+}
+PANEL_CODES = {
+    "CBC": "58410-2", "BMP": "51990-0", "CMP": "24323-8", "LIPID": "57698-3", "LIPID_PANEL": "57698-3", "LFT": "24325-3", "HEPATIC": "24325-3", "URINALYSIS": "24356-8", "UA": "24356-8", "TSH": "3016-3", "HBA1C": "4548-4",
+    "A1C": "4548-4", "PT_INR": "34714-6", "COAG": "34714-6",
+}
+
 
 def _constant_map(entries: dict[str, object]) -> Column:
     return F.map_from_arrays(F.array(*[F.lit(k) for k in entries]), F.array(*[F.lit(v) if not isinstance(v, list) else F.array(*[F.lit(x) for x in v]) for v in entries.values()]))
@@ -195,11 +207,10 @@ def synonyms_of(text: Column) -> Column:
 
 # Spellings of a mapping's equivalence.
 EQUIVALENCES = {
-    "equivalent": ["equivalent", "exact", "equal"],
-    "wider": ["wider", "broader", "source-is-narrower-than-target"],
-    "narrower": ["narrower", "source-is-broader-than-target"],
-    "inexact": ["inexact", "approximate", "related", "relatedto"],
-    "unmatched": ["unmatched", "none", "not-related-to"],
+    "equivalent": ["equivalent", "equal", "exact"],
+    "wider": ["wider", "broader"],
+    "narrower": ["narrower", "more specific"],
+    "inexact": ["inexact", "approximate"],
 }
 
 
@@ -209,3 +220,42 @@ def equivalence(text: Column, default: str = "equivalent") -> Column:
     for name, spellings in EQUIVALENCES.items():
         out = out.when(v.isin(spellings), name)
     return out.otherwise(default)
+
+
+def lab_code(name: Column) -> Column:
+    """Code of a common test by its usual name in any case."""
+    return F.element_at(_constant_map(LAB_CODES), F.upper(name))
+
+
+def panel_code(name: Column) -> Column:
+    return F.element_at(_constant_map(PANEL_CODES), F.upper(name))
+
+
+def _display_score(query: Column, name: Column, component: Column) -> Column:
+    """0.98 for the component, 0.97 for the name, 0.7 to 0.9 where the name holds the query, else shared words at 0.9."""
+    from ..functions.similarity import token_overlap
+
+    q, n, c = F.upper(query), F.upper(name), F.upper(component)
+    return F.when(c == q, 0.98).when(n == q, 0.97).when(F.contains(n, q), 0.7 + 0.2 * F.length(q) / F.length(n)).otherwise(0.9 * token_overlap(query, F.concat_ws(" ", name, component)))
+
+
+def matched(codes: DataFrame, query: str, limit: int, least: float = 0.5) -> DataFrame:
+    """(code, name, confidence, via): the best tier of each laboratory code (code, name, component) for a query, best first.
+
+    Tiers: the code itself (1), the code of a common test or panel name (1), names by the query with its abbreviations written out, by its
+    synonyms (at 0.95), by the query as it is, and by edit similarity. One scan scores all of them.
+    """
+    from ..functions.similarity import edit_similarity
+
+    text = " ".join(query.split()).upper()
+    long = " ".join(ABBREVIATIONS.get(w, w) for w in text.split())
+    alike = list(dict.fromkeys(x for group in SYNONYMS if text in group for x in group if x != text))
+    alias = [c for c in (LAB_CODES.get(text), PANEL_CODES.get(text)) if c]
+    tiers = [("code", F.when(F.upper("code") == text, 1.0)), ("alias", F.when(F.col("code").isin(alias), 1.0) if alias else None)]
+    score = lambda q: _display_score(F.lit(q), F.col("name"), F.col("component"))
+    tiers.append(("abbreviation", score(long) if long != text else None))
+    tiers.append(("synonym", 0.95 * F.greatest(*[score(x) for x in alike], F.lit(0.0)) if alike else None))
+    tiers += [("display", score(text)), ("fuzzy", F.greatest(edit_similarity(F.upper("component"), F.lit(text)), edit_similarity(F.upper("name"), F.lit(text))))]
+    found = F.array(*[F.struct(F.coalesce(c, F.lit(0.0)).alias("score"), F.lit(-k).alias("rank"), F.lit(name).alias("via")) for k, (name, c) in enumerate(tiers) if c is not None])
+    best = codes.withColumn("best", F.array_max(found)).where(F.col("best.score") >= least)
+    return best.select("code", "name", F.round("best.score", 9).alias("confidence"), F.col("best.via").alias("via")).orderBy(F.desc("confidence"), "code").limit(limit)

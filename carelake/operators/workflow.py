@@ -182,29 +182,46 @@ def _drop(value: object, path: list[str]) -> None:
         value.pop(path[-1], None)
 
 
-def set_field(payload: Column, assignment: str) -> Column:
-    """The JSON payload with a constant at a path; objects on the way are made. Absent payloads become an object."""
+Step = tuple[str, list[str], object]
+
+
+def _assigned(assignment: str) -> Step:
     target, _, constant = assignment.partition("=")
-    path, to = target.strip().split("."), literal(constant)
-    if path[0] == "event":
-        path = path[1:]
+    return "set", target.strip().removeprefix("event.").split("."), literal(constant)
+
+
+def _dropped(paths: list[str]) -> list[Step]:
+    return [("drop", p.removeprefix("event.").split("."), None) for p in paths]
+
+
+def edited(payload: Column, steps: list[Step]) -> Column:
+    """The JSON payload after all steps, read and written once; absent payloads become an object, other texts stay as they are."""
+
+    def change(value: dict) -> None:
+        for kind, path, to in steps:
+            _set(value, path, to) if kind == "set" else _drop(value, path)
 
     @F.pandas_udf(StringType())
     def run(data: pd.Series) -> pd.Series:
-        return data.map(lambda x: _edit(x, lambda v: _set(v, path, to)))
+        return data.map(lambda x: _edit(x, change))
 
     return run(payload)
 
 
+def set_field(payload: Column, assignment: str) -> Column:
+    """The JSON payload with a constant at a path; objects on the way are made. Absent payloads become an object."""
+    return edited(payload, [_assigned(assignment)])
+
+
 def redact(payload: Column, paths: list[str]) -> Column:
     """The JSON payload without what stands at the paths; absent paths don't matter."""
-    split = [p.removeprefix("event.").split(".") for p in paths]
+    return edited(payload, _dropped(paths))
 
-    @F.pandas_udf(StringType())
-    def run(data: pd.Series) -> pd.Series:
-        return data.map(lambda x: _edit(x, lambda v: [_drop(v, p) for p in split]))
 
-    return run(payload)
+@F.pandas_udf(StringType())
+def _put(data: pd.Series, path: pd.Series, value: pd.Series) -> pd.Series:
+    """value is a JSON text; rows without one keep their payload."""
+    return pd.Series([d if v is None else _edit(d, lambda x, p=p, v=v: _set(x, p.split("."), json.loads(v))) for d, p, v in zip(data, path, value, strict=True)], dtype=object)
 
 
 def map_terminology(events: DataFrame, mapping: DataFrame, code: str, system: str, to_system: str) -> DataFrame:
@@ -215,15 +232,92 @@ def map_terminology(events: DataFrame, mapping: DataFrame, code: str, system: st
     return out.withColumns({"mapped_code": F.coalesce("best_of_mapping.target_code", code), "mapped_display": F.col("best_of_mapping.target_display")}).drop("key_of_mapping", "best_of_mapping")
 
 
-def transformed(events: DataFrame, route: Route, payload: str = "data") -> DataFrame:
-    """events with the route's transforms of the payload, in order."""
+def map_field(events: DataFrame, field: str, mapping: DataFrame, system: str, to_system: str, payload: str = "data") -> DataFrame:
+    """The code at a path of the payload replaced by the first mapping's target code, with its display beside it under <field>_display.
+
+    Payloads without the field, fields that aren't texts, and codes without a mapping stay as they are.
+    """
+    path = field.removeprefix("event.")
+    code = F.get_json_object(payload, cel.json_path(path.split(".")))
+    aside = events.withColumn("code_of_route", code)
+    found = map_terminology(aside, mapping, "code_of_route", system, to_system)
+    hit = F.col("mapped_display").isNotNull() | (F.col("mapped_code") != F.col("code_of_route"))
+
+    def quoted(c: Column) -> Column:
+        """A text as JSON: what stands between the brackets of a list of it."""
+        listed = F.to_json(F.array(c))
+        return F.substr(listed, F.lit(2), F.length(listed) - 2)
+
+    first = _put(F.col(payload), F.lit(path), F.when(hit, quoted(F.col("mapped_code"))))
+    second = _put(F.col(payload), F.lit(f"{path}_display"), F.when(hit & (F.col("mapped_display") != ""), quoted(F.col("mapped_display"))))
+    return found.withColumn(payload, first).withColumn(payload, second).drop("code_of_route", "mapped_code", "mapped_display")
+
+
+# Explanations of common warnings: what it means, how to mend it, what it does if it is left.
+WARNINGS = {
+    "INVALID_NPI": ("The provider number isn't ten digits with a right check digit.", "Look the provider up in the registry and correct the source.", "Claims with this number may be rejected."),
+    "INVALID_MBI": ("The beneficiary number doesn't have the required pattern of letters and digits.", "Compare it with the card; look for typing errors.", "Medicare claims may be rejected."),
+    "INVALID_SSN": ("The social security number isn't one that is issued.", "Check it at the source, or leave it out.", "Matching by this number may fail."),
+    "MISSING_PV1": ("The message has no visit segment.", "Ask the sender for PV1, or allow its absence for this type.", "The event has no class, location or doctor."),
+    "MISSING_PID": ("The message has no patient segment.", "Ask the sender for PID.", "The message can't be taken."),
+    "EMPTY_MRN": ("The record number is empty.", "Look at PID-3 and at the sender's settings.", "The patient may be entered twice."),
+    "INVALID_DATE": ("A date can't be read.", "Send dates as YYYYMMDD.", "The date is left out."),
+    "UNKNOWN_MESSAGE_TYPE": ("The message type isn't known here.", "Check MSH-9, or add the type to the profile.", "The message may not be routed."),
+    "SEGMENT_TRUNCATED": ("A segment seems to be cut off.", "Check the sender's length limits.", "What stood behind the cut is lost."),
+    "DUPLICATE_IDENTIFIER": ("One kind of identifier came more than once.", "Find out which of them holds.", "Matching may go wrong."),
+    "CODE_NOT_MAPPED": ("A local code has no standard code.", "Add a mapping for it.", "The standard code is empty."),
+}
+
+
+def explain_warnings(payload: Column, field: str = "warnings", include_fix: bool = True) -> Column:
+    """The JSON payload with an explanation, an impact and, if wanted, a fix on each warning object whose code is known; others stay as they are."""
+    path = field.removeprefix("event.").split(".")
+
+    def change(value: dict) -> None:
+        for name in path[:-1]:
+            value = value.get(name) if isinstance(value, dict) else None
+        items = value.get(path[-1]) if isinstance(value, dict) else None
+        for w in items if isinstance(items, list) else []:
+            if isinstance(w, dict) and w.get("code") in WARNINGS:
+                meaning, fix, impact = WARNINGS[w["code"]]
+                w |= {"explanation": meaning, **({"fix_suggestion": fix} if include_fix else {}), "impact": impact}
+
+    @F.pandas_udf(StringType())
+    def run(data: pd.Series) -> pd.Series:
+        return data.map(lambda x: _edit(x, change) if x else x)
+
+    return run(payload)
+
+
+def transformed(events: DataFrame, route: Route, payload: str = "data", mapping: DataFrame | None = None) -> DataFrame:
+    """events with the route's transforms of the payload, in order; neighbouring edits are one pass. map_terminology needs a mapping table.
+
+    A transform of another kind is an error, as is one that lacks what it needs.
+    """
+    steps: list[Step] = []
+
+    def flush(rows: DataFrame) -> DataFrame:
+        out = rows.withColumn(payload, edited(F.col(payload), list(steps))) if steps else rows
+        steps.clear()
+        return out
+
     for t in route.transforms:
         if "set_field" in t:
-            events = events.withColumn(payload, set_field(F.col(payload), str(t["set_field"])))
+            steps.append(_assigned(str(t["set_field"])))
         elif "redact" in t:
-            fields = t["redact"].get("fields") if isinstance(t["redact"], dict) else t["redact"]
-            events = events.withColumn(payload, redact(F.col(payload), _listed(fields)))
-    return events
+            steps += _dropped(_listed(t["redact"].get("fields") if isinstance(t["redact"], dict) else t["redact"]))
+        elif "map_terminology" in t:
+            if mapping is None:
+                raise ValueError(f"route {route.name}: map_terminology needs a mapping table")
+            own = t["map_terminology"]
+            events = map_field(flush(events), own["field"], mapping, own["from"], own["to"], payload)
+        elif "explain_warnings" in t:
+            own = t["explain_warnings"] or {}
+            events = flush(events)
+            events = events.withColumn(payload, explain_warnings(F.col(payload), own.get("warnings_field") or "warnings", bool(own.get("include_fix"))))
+        else:
+            raise ValueError(f"route {route.name}: unknown transform {', '.join(map(str, t)) or '(empty)'}")
+    return flush(events)
 
 
 def template(text: str, columns: list[str], payload: str = "data") -> Column:
@@ -236,11 +330,11 @@ def template(text: str, columns: list[str], payload: str = "data") -> Column:
     return F.concat(*parts, F.lit(text[at:]))
 
 
-def run(events: DataFrame, workflow: Workflow, handlers: dict[str, Callable[[DataFrame, dict], None]], payload: str = "data") -> list[tuple[str, str, str]]:
+def run(events: DataFrame, workflow: Workflow, handlers: dict[str, Callable[[DataFrame, dict], None]], payload: str = "data", mapping: DataFrame | None = None) -> list[tuple[str, str, str]]:
     """Carries out each route's actions on its transformed events; (route, action, error) of those that failed, while the others go on."""
     failed = []
     for r in workflow.routes:
-        taken = transformed(events.where(matches(r, events.columns, payload)), r, payload)
+        taken = transformed(events.where(matches(r, events.columns, payload)), r, payload, mapping)
         for a in r.actions:
             try:
                 handlers[a["type"]](taken, a)

@@ -76,7 +76,13 @@ def edi_payment_roundtrip(spark, sf_dir):
     return p.select(F.col("claim_id").cast("long").alias("claim_id"), "charged", "paid", "check_number", F.col("check_date").cast("string").alias("check_date"), F.size("adjustments").cast("long").alias("adjustments"), "patient_share")
 
 
-@query("""SELECT * FROM (VALUES ('c_custkey', 'integer'), ('c_name', 'string'), ('c_nationkey', 'integer'), ('c_acctbal', 'float'), ('c_mktsegment', 'code')) v("column", type)""")
+TYPE_CASES = " ".join(f"WHEN regexp_matches(value, '{shape}') THEN '{name}'" for name, shape in csvfiles.VALUE_SHAPES)
+
+
+@query(f"""WITH s AS (SELECT * FROM customer ORDER BY c_custkey LIMIT 10),
+l AS (UNPIVOT (SELECT c_custkey::VARCHAR AS c_custkey, c_name, c_nationkey::VARCHAR AS c_nationkey, c_acctbal::VARCHAR AS c_acctbal, c_mktsegment FROM s) ON COLUMNS(*) INTO NAME "column" VALUE value),
+v AS (SELECT "column", CASE {TYPE_CASES} ELSE 'string' END AS type, count(*) AS n FROM l GROUP BY ALL), t AS (SELECT "column", sum(n) AS total, arg_max(type, (n, type)) AS top, max(n) AS n FROM v GROUP BY 1)
+SELECT "column", CASE WHEN n >= 2 AND n >= total // 2 + 1 THEN top ELSE 'string' END AS type FROM t""")
 def csv_type_inference(spark, sf_dir):
     c = table(spark, sf_dir, "customer").withColumn("order_of_sample", F.col("c_custkey"))
     return csvfiles.infer_types(c, 10, "order_of_sample")

@@ -15,10 +15,10 @@ def read(spark: SparkSession, path: str, separator: str = ",") -> DataFrame:
 
 
 # Name parts that settle a column's type, and shapes of values in order of trial.
-NAME_HINTS = [("date", ["date", "dob", "time"]), ("mrn", ["mrn"]), ("ssn", ["ssn"]), ("phone", ["phone", "tel"]), ("email", ["email"]), ("gender", ["gender", "sex"])]
+NAME_HINTS = [("date", ["date", "dob"]), ("datetime", ["time"])]
 VALUE_SHAPES = [
-    ("integer", r"^-?[0-9]{1,6}$"), ("float", r"^-?[0-9]+\.[0-9]+$"), ("datetime", r"^[0-9]{4}-[0-9]{2}-[0-9]{2}[T ][0-9]{2}:[0-9]{2}"), ("date", r"^([0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4})$"),
-    ("ssn", r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), ("email", r"^[^@\s]+@[^@\s]+\.[^@\s]+$"), ("phone", r"^\+?[0-9(][0-9 ().-]{6,}$"), ("gender", r"^(M|F|U|O|male|female|unknown|other)$"), ("code", r"^[A-Z][A-Z0-9.-]{1,9}$"),
+    ("ssn", r"^[0-9]{3}-?[0-9]{2}-?[0-9]{4}$"), ("email", r"^[^@]+@[^@]+\.[^@]+$"), ("phone", r"^[0-9() \t.-]{7,}$"), ("mrn", r"^[A-Z]?[0-9]{6,10}$"), ("gender", r"^([MFOUmfou]|male|female|other|unknown)$"),
+    ("code", r"^[A-Z][0-9]{2,4}(\.[0-9]+)?$"), ("date", r"^[0-9]{4}[-/][0-9]{1,2}[-/][0-9]{1,2}$"), ("integer", r"^-?[0-9]+$"), ("float", r"^-?[0-9]+\.?[0-9]*$"),
 ]
 
 
@@ -53,8 +53,36 @@ def _either(columns: list[str], names: list[str]) -> Column:
 
 
 # Names under which exports keep a patient's and a result's fields.
-PATIENT_FIELDS = {"mrn": ["mrn", "patient_id", "medical_record_number", "id"], "family": ["last_name", "family_name", "surname", "lastname"], "given": ["first_name", "given_name", "firstname"], "birth_date": ["dob", "date_of_birth", "birth_date"], "gender": ["gender", "sex"], "phone": ["phone", "phone_number", "telephone"], "zip": ["zip", "zip_code", "postal_code"], "ssn": ["ssn", "social_security_number"]}
-RESULT_FIELDS = {"mrn": ["mrn", "patient_id"], "code": ["test_code", "loinc", "loinc_code", "code"], "name": ["test_name", "test", "name"], "value": ["result", "value", "result_value"], "unit": ["units", "unit"], "range": ["reference_range", "ref_range"], "flag": ["abnormal_flag", "flag"], "observed": ["result_date", "collected_date", "observation_date"]}
+PATIENT_FIELDS = {
+    "mrn": ["mrn", "medical_record_number", "patient_id", "patientid", "id"],
+    "family": ["last_name", "family_name", "lastname", "surname"],
+    "given": ["first_name", "given_name", "firstname", "forename"],
+    "middle": ["middle_name", "middlename", "middle_initial"],
+    "gender": ["gender", "sex"],
+    "birth_date": ["dob", "date_of_birth", "birthdate", "birth_date"],
+    "line": ["address", "address1", "street", "address_line_1"],
+    "city": ["city"],
+    "state": ["state", "province"],
+    "zip": ["zip", "zipcode", "postal_code", "postcode"],
+    "country": ["country"],
+    "phone": ["phone", "phone_number", "telephone"],
+    "email": ["email", "email_address"],
+    "ssn": ["ssn", "social_security", "social_security_number"],
+}
+RESULT_FIELDS = {
+    "mrn": ["mrn", "patient_id", "patientid"],
+    "family": ["last_name", "patient_last_name"],
+    "given": ["first_name", "patient_first_name"],
+    "code": ["test_code", "code", "lab_code"],
+    "name": ["test_name", "test_description", "description", "test"],
+    "loinc": ["loinc", "loinc_code"],
+    "value": ["result", "value", "result_value"],
+    "unit": ["unit", "units", "uom"],
+    "range": ["reference_range", "ref_range", "normal_range"],
+    "flag": ["interpretation", "flag", "abnormal_flag"],
+    "status": ["status", "result_status"],
+    "observed": ["collection_date", "collected_date", "specimen_date", "date"],
+}
 
 
 def patients(rows: DataFrame) -> DataFrame:
@@ -73,6 +101,8 @@ def results(rows: DataFrame) -> DataFrame:
 MRCONSO = "cui lat ts lui stt sui ispref aui saui scui sdui sab tty code str srl suppress cvf".split()
 MRREL = "cui1 aui1 stype1 rel cui2 aui2 stype2 rela rui srui sab sl rg dir suppress cvf".split()
 MRSTY = "cui tui stn sty atui cvf".split()
+RXNCONSO = "rxcui lat ts lui stt sui ispref rxaui saui scui sdui sab tty code str srl suppress cvf".split()
+RXNREL = "rxcui1 rxaui1 stype1 rel rxcui2 rxaui2 stype2 rela rui srui sab sl dir rg suppress cvf".split()
 RXNSAT = "rxcui lui sui rxaui stype code atui satui atn sab atv suppress cvf".split()
 
 
@@ -113,3 +143,31 @@ def icd10(rows: DataFrame, headers: bool = False) -> DataFrame:
     out = rows.where("trim(coalesce(code, '')) <> '' AND trim(coalesce(description, '')) <> ''")
     out = out.select(F.replace(F.upper(F.trim("code")), F.lit("."), F.lit("")).alias("code"), "description", billable.alias("is_billable"), F.replace("category", F.lit("."), F.lit("")).alias("parent"))
     return out if headers else out.where("is_billable")
+
+
+def drugs(rxnconso: DataFrame, release_id: int, skip_suppressed: bool = True) -> DataFrame:
+    """(rxcui, tty, name, code, source, suppress, release_id) in English."""
+    out = rxnconso.where("lat = 'ENG'")
+    out = out.where("suppress = 'N'") if skip_suppressed else out
+    return out.select("rxcui", "tty", F.col("str").alias("name"), "code", F.col("sab").alias("source"), "suppress", F.lit(release_id).alias("release_id"))
+
+
+def drug_relations(rxnrel: DataFrame, release_id: int) -> DataFrame:
+    """Relations between concepts; those between atoms are left out."""
+    return rxnrel.where("coalesce(rxcui1, '') <> '' AND coalesce(rxcui2, '') <> ''").select("rxcui1", "rela", "rxcui2", F.lit(release_id).alias("release_id"))
+
+
+# Columns of the laboratory code table and of its panel hierarchy, and the names that they get here.
+LAB_COLUMNS = {"loinc_num": "code", "long_common_name": "name", "shortname": "short_name", "component": "component", "class": "class", "status": "status"}
+PANEL_COLUMNS = {"parentloinc": "panel", "loinc": "member", "loincname": "name", "sequence": "sequence"}
+
+
+def labs(rows: DataFrame, active_only: bool = True) -> DataFrame:
+    """Laboratory codes of a table read with ``read``; deprecated ones are left out unless asked for."""
+    out = rows.select(*[F.col(a).alias(b) for a, b in LAB_COLUMNS.items()])
+    return out.where("status = 'ACTIVE'") if active_only else out
+
+
+def panels(rows: DataFrame) -> DataFrame:
+    out = rows.select(*[F.col(a).alias(b) for a, b in PANEL_COLUMNS.items()])
+    return out.withColumn("sequence", F.col("sequence").try_cast("int"))

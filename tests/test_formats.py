@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from carelake.functions.similarity import cosine
-from carelake.operators import eventlog, fhir, matching, projections, quality, sinks, terminology
-from carelake.sources import csvfiles, documents, hl7v2, x12
+from carelake.functions import clinical
+from carelake.operators import eventlog, fhir, lookups, matching, projections, quality, sinks, terminology, workflow
+from carelake.sources import companion, csvfiles, documents, eventinput, hl7v2, x12
 from carelake.streaming import folds
 
 
@@ -56,7 +57,12 @@ def test_csv_types_patients_and_releases(spark, tmp_path):
     p = csvfiles.patients(rows).orderBy("mrn").first()
     assert (p.mrn, p.family, p.birth_date, p.gender) == ("1", "O, N", datetime.date(2001, 2, 3), "U")
     types = {r.column: r.type for r in csvfiles.infer_types(rows).collect()}
-    assert types["mrn"] == "mrn" and types["dob"] == "date" and types["phone_number"] == "phone"
+    assert types["mrn"] == "integer" and types["dob"] == "date" and types["phone_number"] == "phone"
+    both = spark.createDataFrame([("p1", "m1", " ", "s1")], "patient_id string, medical_record_number string, last_name string, surname string")
+    assert tuple(csvfiles.patients(both).select("mrn", "family").first()) == ("m1", "s1")
+    shapes = ["123-45-6789", "a@b.c", "(541) 555-3219", "A123456", "F", "E11.9", "2024/1/2", "42", "4.5", "x y"]
+    got = spark.createDataFrame([(x,) for x in shapes], "v string").select(csvfiles.value_type(F.col("v")).alias("t")).collect()
+    assert [r.t for r in got] == ["ssn", "email", "phone", "mrn", "gender", "code", "date", "integer", "float", "string"]
     (tmp_path / "MRCONSO.RRF").write_text('C1|ENG|P|L1|PF|S1|Y|A1||||SNOMEDCT_US|PT|123|Heart "attack"|0|N||\nC2|FRE|P|L1|PF|S1|Y|A1||||SNOMEDCT_US|PT|124|Coeur|0|N||\nC3|ENG|P|L1|PF|S1|N|A1||||LNC|PT|5-1|Old|0|O||\n')
     c = csvfiles.concepts(csvfiles.read_rrf(spark, str(tmp_path / "MRCONSO.RRF"), csvfiles.MRCONSO)).collect()
     assert [(r.cui, r.name) for r in c] == [("C1", 'Heart "attack"')]
@@ -176,3 +182,67 @@ def test_fhir_members(spark):
     got = [json.loads(x) for x in one.select(*[fhir.to_json(m).alias(f"c{n}") for n, m in enumerate(made)]).first()]
     assert [x["resourceType"] for x in got] == ["Organization", "Practitioner", "PractitionerRole", "Location", "RelatedPerson", "CareTeam", "Provenance", "Coverage", "Procedure", "Immunization", "Claim"]
     assert got[5]["participant"][0]["member"]["reference"] == "Practitioner/5" and got[9]["patient"]["reference"] == "Patient/5" and "identifier" not in got[1] and got[10]["item"][0]["net"]["currency"] == "USD"
+
+
+def test_companion_paths_and_guides(spark):
+    path = companion.parse_path("2010BB.NM1[2].3-1")
+    assert (path.loop, path.segment, path.occurrence, path.element, path.component) == ("2010BB", "NM1", 1, 3, 1)
+    assert companion.parse_path("CLM.2").occurrence is None and companion.parse_path("LX[*].1").occurrence == -1
+    for bad in ("", "CLM", "2300.CLM", "a.b.c.d", "CLM.x", "CLM[0x].1"):
+        with pytest.raises(companion.PathError):
+            companion.parse_path(bad)
+    isa = "ISA*00*          *00*          *ZZ*A              *ZZ*RCV            *240102*1253*^*00501*000000001*0*P*:~"
+    text = isa + "GS*HC*S*R*20240102*1253*1*X*005010X222A1~ST*837*0001*005010X222A1~NM1*85*2*CLINIC*****XX*1234567893~CLM*7*50***11:B:1~LX*1~SV1*HC:99213*50~LX*2~SV1*HC:99214*9~SE*1*0001~"
+    t = companion.transactions(x12.enveloped(x12.segments(spark.createDataFrame([("f", text)], "file string, raw string"))))
+    got = t.select(companion.values("LX[*].1").alias("all"), companion.values("2400.SV1[2].1-2").alias("second"), companion.values("2300.CLM.5-1").alias("place"), companion.values("CLM[3].1").alias("none"), companion.values("1000A.NM1.1").alias("loop")).first()
+    assert (got["all"], got.second, got.place, got.none, got.loop) == (["1", "2"], ["99214"], ["11"], [], [])
+    conditions = ["CLM.1=7", "CLM.1!=7", "exists(CLM.1)", "!exists(CLM.1)", "odd", "", "no path=1"]
+    assert list(t.select(*[companion.holds(c).alias(f"c{k}") for k, c in enumerate(conditions)]).first()) == [True, False, True, False, True, True, True]
+    guides = [{"name": "kind", "kind": "837P"}, {"name": "other", "receiver": "X", "kind": "837P"}, {"name": "own", "receiver": "RCV"}]
+    assert t.select(companion.detected(guides).alias("g")).first().g == "own"
+    assert t.select(companion.detected(guides[:2]).alias("g")).first().g == "kind" and t.select(companion.detected(guides[1:2]).alias("g")).first().g is None
+    rules = {"rules": [{"path": "NM1.9", "type": "luhn"}, {"path": "CLM.1", "type": "mbi"}, {"path": "CLM.2", "type": "range", "min_value": 60}, {"path": "CLM.1", "type": "strange"}]}
+    assert [(x.path, x.issue) for x in t.select(companion.issues(rules).alias("i")).first().i] == [("NM1.9", "INVALID_CHECKSUM"), ("CLM.1", "INVALID_MBI_LENGTH"), ("CLM.2", "VALUE_TOO_LOW")]
+
+
+def test_event_input(spark):
+    rows = [(1, '[{"type":"a"}, {"type":"b"}]'), (2, '{"type":"c"}\n\n {"type":"d"} '), (3, ""), (4, None), (5, '{"type":"e"}\n[1]\nbad'), (6, "[]"), (7, "[bad")]
+    out = eventinput.envelope(eventinput.event_rows(spark.createDataFrame(rows, "k int, raw string"))).collect()
+    assert sorted((r.k, r.event_type) for r in out if r.error is None) == [(1, "a"), (1, "b"), (2, "c"), (2, "d"), (5, "e")]
+    assert sorted((r.k, r.error) for r in out if r.error) == [(3, "EMPTY_INPUT"), (4, "EMPTY_INPUT"), (5, "INVALID_JSON"), (5, "INVALID_JSON"), (6, "INVALID_JSON"), (7, "INVALID_JSON")]
+
+
+def test_clinical_values(spark):
+    one = spark.range(1)
+    dose = lambda d, u: one.select(clinical.dose_quantity(F.lit(d), F.lit(u)).alias("q")).first().q
+    assert tuple(dose("2.5 to 5", "Tablets")) == (2.5, "Tablets", "http://unitsofmeasure.org", "{tbl}") and dose(" ", "mg") is None and tuple(dose("some", "mg")) == (None, "mg", None, None)
+    t = one.select(clinical.timing(F.lit("bid")).alias("a"), clinical.timing(F.lit("PRN")).alias("b"), clinical.timing(F.lit("noon")).alias("c")).first()
+    assert (t.a.repeat.frequency, t.a.code.coding[0].code, t.b.repeat, t.b.code.coding[0].code, t.c.code.coding, t.c.code.text) == (2, "BID", None, "PRN", None, "noon")
+
+
+def test_lab_matches(spark):
+    codes = spark.createDataFrame([("6690-2", "Leukocytes [#/volume] in Blood", "Leukocytes"), ("2345-7", "Glucose [Mass/volume] in Serum", "Glucose"), ("2823-3", "Potassium in Serum", "Potassium"), ("1-1", "Glucosa", "Glucosa")], "code string, name string, component string")
+    best = lambda q: [(r.code, r.confidence, r.via) for r in lookups.matched(codes, q, 3).collect()]
+    assert best("2345-7")[0] == ("2345-7", 1.0, "code") and best("wbc")[0] == ("6690-2", 1.0, "alias") and best("k")[0] == ("2823-3", 0.98, "abbreviation")
+    assert best("blood sugar")[0] == ("2345-7", round(0.95 * 0.98, 9), "synonym") and best("glucose")[0][0] == "2345-7" and best("glucosx")[0][2] == "fuzzy"
+    r = spark.range(1).select(lookups.lab_code(F.lit("hba1c")).alias("a"), lookups.panel_code(F.lit("cbc")).alias("b"), lookups.lab_code(F.lit("x")).alias("c"), lookups.synonyms_of(F.lit(" hb ")).alias("d"), lookups.expanded(F.lit("serum k")).alias("e")).first()
+    assert tuple(r) == ("4548-4", "58410-2", None, ["HEMOGLOBIN", "HGB"], "SERUM POTASSIUM")
+
+
+def test_unknown_transforms_are_refused(spark):
+    frame = spark.createDataFrame([(1, "{}")], "position long, data string")
+    for t in ({"shout": "x"}, {}, {"map_terminology": {"field": "a", "from": "x", "to": "y"}}):
+        with pytest.raises(ValueError, match="route r"):
+            workflow.transformed(frame, workflow.Route("r", transforms=[t]))
+
+
+def test_release_loaders(spark, tmp_path):
+    (tmp_path / "RXNCONSO.RRF").write_text("1|ENG||||||A1||||RXNORM|IN|1|Aspirin||N||\n2|SPA||||||A2||||RXNORM|IN|2|Aspirina||N||\n3|ENG||||||A3||||RXNORM|BN|3|Bayer||O||\n")
+    (tmp_path / "RXNREL.RRF").write_text("3|||RO|1|||tradename_of|||RXNORM|||||\n|9||RO||8||x|||RXNORM|||||\n")
+    (tmp_path / "Loinc.csv").write_text('"LOINC_NUM","LONG_COMMON_NAME","SHORTNAME","COMPONENT","CLASS","STATUS"\n"1-8","Glucose, x","Gluc","Glucose","CHEM","ACTIVE"\n"2-6","Old","O","Old","CHEM","DEPRECATED"\n')
+    (tmp_path / "Panels.csv").write_text('"ParentLoinc","LOINC","LoincName","SEQUENCE"\n"5-9","1-8","Glucose",2\n')
+    c = csvfiles.drugs(csvfiles.read_rrf(spark, str(tmp_path / "RXNCONSO.RRF"), csvfiles.RXNCONSO), 4).collect()
+    assert [(r.rxcui, r.name, r.release_id) for r in c] == [("1", "Aspirin", 4)]
+    assert [(r.rxcui1, r.rela, r.rxcui2) for r in csvfiles.drug_relations(csvfiles.read_rrf(spark, str(tmp_path / "RXNREL.RRF"), csvfiles.RXNREL), 4).collect()] == [("3", "tradename_of", "1")]
+    assert [tuple(r) for r in csvfiles.labs(csvfiles.read(spark, str(tmp_path / "Loinc.csv"))).select("code", "name", "class").collect()] == [("1-8", "Glucose, x", "CHEM")]
+    assert [tuple(r) for r in csvfiles.panels(csvfiles.read(spark, str(tmp_path / "Panels.csv"))).collect()] == [("5-9", "1-8", "Glucose", 2)]
