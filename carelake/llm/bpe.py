@@ -14,7 +14,6 @@ import heapq
 import json
 import re
 import unicodedata
-from array import array
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
@@ -25,7 +24,7 @@ from .common import map_texts
 
 NONE = np.iinfo(np.int32).max - 1
 #: Entries of each table, characters of a text handled at once, characters up to which words and chunks are kept.
-TABLE, SLICE, KEPT = 250_000, 1 << 20, 64
+TABLE, SLICE, KEPT = 400_000, 1 << 20, 64
 #: More than the highest letter that stands for a byte.
 LETTERS = 512
 #: Characters up to here have the same properties in all Unicode versions and no compositions; the library itself normalises others.
@@ -248,8 +247,11 @@ class Vocabulary:
                     heapq.heappush(queue, (m, k, ids[k], ids[after[k]]))
         return [x for x in ids if x >= 0]
 
-    def encode_words(self, words: list[str]) -> list[list[int]]:
-        """Token ids of words in byte letters: proposals, one test of all their pairs, merges for those that fail."""
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, list[int], dict[int, list[int]]]:
+        """Token ids of words in byte letters, one after another, and their bounds; very long words that fail are told apart.
+
+        Proposals, one test of all their pairs, merges for those that fail.
+        """
         letters = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).astype(np.int64)
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         ends = sizes.cumsum()
@@ -265,12 +267,9 @@ class Vocabulary:
         new_owner, new = self.merge_all(base[again], np.repeat(np.arange(len(words)), sizes)[again])
         keep = ~failed[owner]
         owner, tokens = np.concatenate([owner[keep], new_owner]), np.concatenate([tokens[keep], new])
-        flat = tokens[owner.argsort(kind="stable")].tolist()
+        flat = tokens[owner.argsort(kind="stable")]
         bounds = [0, *np.bincount(owner, minlength=len(words)).cumsum().tolist()]
-        out = [flat[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
-        for k in long.tolist():
-            out[k] = self.merge_long(base[ends[k] - sizes[k] : ends[k]].tolist())
-        return out
+        return flat, bounds, {k: self.merge_long(base[ends[k] - sizes[k] : ends[k]].tolist()) for k in long.tolist()}
 
     @property
     @lru_cache  # noqa: B019
@@ -330,14 +329,17 @@ class Table(dict):
         super().__init__()
         self.size, self.older = size, {}
 
-    def missing(self, keys: set[str]) -> set[str]:
-        """Those of the keys that neither half has; the others are in the newer half afterwards."""
-        keys = keys.difference(self)
-        if self.older and keys:
-            again = {k: v for k in keys if (v := self.older.get(k)) is not None}
+    def known(self, keys: set[str]) -> tuple[dict[str, object], list[str]]:
+        """The values of those of the keys that either half has, and the other keys."""
+        order = list(keys)
+        found = dict(zip(order, map(self.get, order), strict=True))
+        absent = [k for k, v in found.items() if v is None]
+        if self.older and absent:
+            again = {k: v for k, v in zip(absent, map(self.older.get, absent), strict=True) if v is not None}
             self.update(again)
-            keys = keys.difference(again)
-        return keys
+            found.update(again)
+            absent = [k for k in absent if k not in again]
+        return found, absent
 
     def trim(self) -> None:
         if len(self) > self.size:
@@ -345,31 +347,64 @@ class Table(dict):
             self.clear()
 
 
+class Rendering:
+    """What is kept of words and chunks: words gives the values of words from their tokens and bounds, join that of a chunk of several words."""
+
+    def __init__(self, words: Callable[[np.ndarray, list[int]], list], join: Callable[[list], object]):
+        self.words, self.join = words, join
+
+
+def _between(flat, bounds: list[int]) -> list:
+    return [flat[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+
+
+LISTS = Rendering(lambda flat, bounds: _between(flat.tolist(), bounds), lambda parts: [t for p in parts for t in p])
+BYTES = Rendering(lambda flat, bounds: _between(flat.astype("<u4").tobytes(), [4 * b for b in bounds]), b"".join)
+
+
+def texts_of(vocab: Vocabulary) -> Rendering:
+    """Pairs of texts: the ids, and the tokens, with a space between."""
+    numbers, names = {t: str(t) for t in vocab.tokens}, vocab.tokens
+
+    def words(flat: np.ndarray, bounds: list[int]) -> list[tuple[str, str]]:
+        own = flat.tolist()
+        return [(" ".join(x), " ".join(y)) for x, y in zip(_between([numbers[t] for t in own], bounds), _between([names[t] for t in own], bounds), strict=True)]
+
+    return Rendering(words, lambda parts: (" ".join([x for x, _ in parts]), " ".join([y for _, y in parts])))
+
+
 class Encoder:
-    """Values of texts' chunks in order; render makes a chunk's value of its token ids."""
+    """Values of texts' chunks in order, as a rendering makes them."""
 
-    def __init__(self, vocab: Vocabulary, render: Callable[[list[int]], object], size: int = TABLE):
+    def __init__(self, vocab: Vocabulary, rendering: Rendering = LISTS, size: int = TABLE):
         # nothing here makes cycles, and the collector would go through the tables again and again
         gc.set_threshold(500_000, 20, 100)
-        self.vocab, self.render, self.chunks, self.words = vocab, render, Table(size), Table(size // 4)
+        self.vocab, self.rendering, self.chunks, self.words = vocab, rendering, Table(size), Table(size // 4)
+
+    def single(self, token: int) -> object:
+        return self.rendering.words(np.array([token]), [0, 1])[0]
 
-    def learn(self, chunks: set[str]) -> dict[str, object]:
+    def learn(self, chunks: list[str]) -> dict[str, object]:
         """Values of chunks; their short words are kept."""
         if not chunks:
             return {}
-        order = list(chunks)
-        split = self.vocab.split_chunks(order)
-        words, render, byte_map = self.words, self.render, self.vocab.byte_map
-        new = list(words.missing({w for x in split for w in x if w.__class__ is str}))
-        if new:
-            letters = new if (text := "".join(new)).isascii() and text.isprintable() else [w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(byte_map) for w in new]
-            words.update(zip(new, self.vocab.encode_words(letters), strict=True))
-        out = [render(words[x[0]] if len(x) == 1 and x[0].__class__ is str else [t for w in x for t in ([w] if w.__class__ is int else words[w])]) for x in split]
-        for w in new:
-            if len(w) > KEPT:
-                del words[w]
-        words.trim()
-        return dict(zip(order, out, strict=True))
+        split = self.vocab.split_chunks(chunks)
+        byte_map, rendering = self.vocab.byte_map, self.rendering
+        known, new = self.words.known({w for x in split for w in x})
+        own = [w for w in new if w.__class__ is str]
+        if own:
+            letters = own if (text := "".join(own)).isascii() and text.isprintable() else [w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(byte_map) for w in own]
+            flat, bounds, long = self.vocab.encode_words(letters)
+            values = rendering.words(flat, bounds)
+            for k, ids in long.items():
+                values[k] = rendering.words(np.array(ids), [0, len(ids)])[0]
+            made = dict(zip(own, values, strict=True))
+            known.update(made)
+            self.words.update(made if max(map(len, own)) <= KEPT else {w: v for w, v in made.items() if len(w) <= KEPT})
+        known.update((w, self.single(w)) for w in new if w.__class__ is int)
+        self.words.trim()
+        join = rendering.join
+        return {c: known[x[0]] if len(x) == 1 else join([known[w] for w in x]) for c, x in zip(chunks, split, strict=True)}
 
     def values(self, texts: Iterable[str]) -> Iterator[tuple[int, list]]:
         """(number of the text, values of the chunks of a slice of it) in order; texts without chunks don't appear."""
@@ -384,27 +419,23 @@ class Encoder:
         yield from self._render(group)
 
     def _render(self, group: list[tuple[int, list[str]]]) -> Iterator[tuple[int, list]]:
-        table = self.chunks
-        new = self.learn(table.missing(set().union(*[x for _, x in group])))
-        table.update(new)
-        get = table.__getitem__
+        """The slices' own chunks are looked up in a table of their own, which is small enough to stay near."""
+        own, absent = self.chunks.known(set().union(*[x for _, x in group]))
+        new = self.learn(absent)
+        own.update(new)
+        self.chunks.update(new if not new or max(map(len, new)) <= KEPT else {c: v for c, v in new.items() if len(c) <= KEPT})
+        self.chunks.trim()
+        get = own.__getitem__
         for k, x in group:
             if x:
                 yield k, list(map(get, x))
-        for c in new:
-            if len(c) > KEPT:
-                del table[c]
-        table.trim()
 
 
 @lru_cache(maxsize=4)
 def kept_encoder(path: str, kind: str) -> Encoder:
     """An encoder that a worker process keeps from task to task, with its tables: chunks as bytes of 32-bit ids, or as ids and tokens in text."""
     vocab = vocabulary(path)
-    tokens = vocab.tokens
-    if kind == "bytes":
-        return Encoder(vocab, lambda ids: array("I", ids).tobytes())
-    return Encoder(vocab, lambda ids: (" ".join(map(str, ids)), " ".join([tokens[i] for i in ids])))
+    return Encoder(vocab, BYTES if kind == "bytes" else texts_of(vocab))
 
 
 def decode(vocab: Vocabulary, ids: Iterable[int]) -> str:
@@ -413,7 +444,7 @@ def decode(vocab: Vocabulary, ids: Iterable[int]) -> str:
 
 
 def encode(vocab: Vocabulary, text: str) -> list[int]:
-    return [t for _, part in Encoder(vocab, list).values([text]) for x in part for t in x]
+    return [t for _, part in Encoder(vocab).values([text]) for x in part for t in x]
 
 
 def encode_digests(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
