@@ -32,22 +32,32 @@ def limit_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+#: Paths of the tables staged by this process, in order.
+MADE: list[str] = []
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it again: lineage ends there, so that a lost executor costs one stage only."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/staged/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    MADE.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard_staged(spark: SparkSession) -> None:
-    """Deletes all staged tables and archives of the shared folder, once no DataFrame that reads them is needed any more."""
+def discard(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes staged tables that no DataFrame needs any more."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for name in ("staged", "archives"):
-        path = jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/{name}")
+    for name in paths:
+        path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(conf).delete(path, True)
 
 
+def discard_staged(spark: SparkSession) -> None:
+    """Deletes all staged tables and archives of the shared folder, once no DataFrame that reads them is needed any more."""
+    discard(spark, [f"{shared_folder(spark)}/{name}" for name in ("staged", "archives")])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 from .common import map_texts, staged
 
 SHINGLE_WORDS, MAX_BITS = 3, 2
-#: Fingerprints that fit the tree, members that a shard should have, and members below which brute force runs.
-TREE_SAMPLE, SHARD_MEMBERS, BRUTE = 16384, 4096, 4096
+#: Fingerprints that fit the tree at least, and at most one of so many and MOST_SAMPLE in all, so that shards don't grow with the data as long as
+#: there are fewer than MAX_SHARDS; members that a shard should have, and members below which brute force runs.
+TREE_SAMPLE, SAMPLE_SHARE, MOST_SAMPLE, SHARD_MEMBERS, BRUTE = 16384, 256, 1 << 20, 4096, 4096
 #: Shards at most. A node is 3 numbers, so the tree that tasks get has a fixed bound; fuller shards split on within their task.
 MAX_SHARDS = 65536
 BLOCK = 1 << 16
@@ -175,7 +176,7 @@ def components(links: DataFrame) -> DataFrame:
 def print_links(prints: DataFrame, max_bits: int = MAX_BITS, members: int = SHARD_MEMBERS) -> DataFrame:
     """(a, b): forests of the links between the distinct fingerprints in prints (fp long), of all shards."""
     total = prints.count()
-    sample = prints.orderBy(F.xxhash64("fp"), "fp").limit(TREE_SAMPLE).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
+    sample = prints.orderBy(F.xxhash64("fp"), "fp").limit(min(MOST_SAMPLE, max(TREE_SAMPLE, total // SAMPLE_SHARE))).toPandas()["fp"].to_numpy(np.int64).view(np.uint64)
     tree = Tree(np.sort(sample), total, max_bits, members)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,7 +214,9 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **opti
 
     Groups without any id keep one row too. All columns stay.
     """
-    names, key = docs.columns, "row_of_keep_one"
+    names, key = docs.columns, "_row_of_keep_one"
+    while key in names:
+        key += "_"
     numbered = staged(docs.withColumn(key, F.monotonically_increasing_id()), "numbered")
     found = near_duplicates(numbered.select(F.struct(F.col(doc_id).isNull().alias("z"), F.col(doc_id).alias("i"), F.col(key).alias("k")).alias("id"), F.col(text).alias("body")), "id", "body", **options)
     stay = found.where("doc_id = component_id").select(F.col("doc_id.k").alias(key))

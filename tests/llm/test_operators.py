@@ -543,3 +543,96 @@ def test_queries_equal_their_sql(spark, name):
     want = db.sql(registry.oracle_sql()[name]).df()[got.columns.tolist()]
     plain = lambda f: sorted(repr(tuple(None if pd.isna(x) else int(x) if isinstance(x, float) else x for x in r)) for r in f.astype(object).itertuples(index=False, name=None))
     assert plain(got) == plain(want)
+
+
+def test_additive_scores_by_plain_loops(texts):
+    """One table entry for each feature and pair, looked up and added one by one."""
+    x = np.array([textstats.features(t) for _, t in texts], float)
+    model = quality_model.AdditiveModel(x, (x[:, 0] > np.median(x[:, 0])).astype(float))
+    assert model.pairs and any(t.any() for t in model.tables)
+    for row, got in zip(x[:60], model.score(x[:60]), strict=True):
+        places = [sum(v >= c for c in cuts) for v, cuts in zip(row, model.cuts, strict=True)]
+        z = model.intercept + sum(t[p] for t, p in zip(model.tables, places, strict=True)) + sum(t[places[i], places[j]] for t, (i, j) in zip(model.pair_tables, model.pairs, strict=True))
+        assert got == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, z)))))
+
+
+def test_rules_as_expressions(spark):
+    """The learned list as a conditional expression says what plain conjunctions say, row by row."""
+    docs, known = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    rules = quality_rules.fit(docs, known)
+    assert rules
+    found = quality_rules.described(docs)
+    for r in found.select(quality_rules.verdict(rules).alias("rule"), *[c.alias(n) for n, c in quality_rules.statistics().items()]).collect():
+        want = next((k for k, rule in enumerate(rules, 1) if all((r[n] >= t if sign == ">=" else r[n] <= t) for n, sign, t in rule)), 0)
+        assert r.rule == want
+    judged = {r.doc_id: r.kept for r in quality_rules.judge(docs, known).collect()}
+    truth = {r.doc_id: r.quality for r in known.collect() if r.quality is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 0 and r.doc_id in judged}
+    assert np.mean([judged[i] == bool(q) for i, q in truth.items()]) > 0.9
+
+
+def plain_segments(s):
+    """By the definition: repeatedly the best remaining segment (the shortest, then leftmost), and then what lies on its sides."""
+    if not len(s):
+        return []
+    best = max(((s[a:b].sum(), -(b - a), -a) for a in range(len(s)) for b in range(a + 1, len(s) + 1)))
+    if best[0] <= 0:
+        return []
+    a, b = -best[2], -best[2] - best[1]
+    return plain_segments(s[:a]) + [(a, b, best[0])] + [(b + x, b + y, v) for x, y, v in plain_segments(s[b:])]
+
+
+def test_toxicity_scores_by_definition(spark):
+    """Token scores by the forms' table, all maximal segments by their definition, excesses over the Gumbel level, and the logistic."""
+    docs, known = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, known)
+    assert model.scores
+    toxic = known.where("toxic = 1").select("doc_id")
+    short = docs.where("length(text) < 700").select("doc_id", "text")
+    chosen = [r.text for part in (short.join(toxic, "doc_id"), short.join(toxic, "doc_id", "left_anti")) for r in part.orderBy("doc_id").limit(20).collect()]
+    assert len(chosen) > 20 and len({round(model.score(t), 6) for t in chosen}) > 2
+    for text in chosen:
+        words = toxicity.tokens(text)
+        scores = []
+        for k, w in enumerate(words):
+            held = [model.scores[f] for f in toxicity.forms(w) if f in model.scores]
+            scores.append((max(held)[1] if held and words[k - 1 : k] != [w] else 0.0) - toxicity.DRIFT)
+        scores = np.array(scores)
+        level = math.log(model.k * len(scores) + 1e-12) - math.log(-math.log(1 - toxicity.ALPHA)) if len(scores) else 0.0
+        total = sum(max(0.0, model.lam * v - level) for _, _, v in plain_segments(scores))
+        z = model.slope * math.log1p(total) + model.offset
+        assert model.score(text) == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, z)))), abs=1e-9)
+
+
+def test_best_tags_by_enumeration():
+    """The decoder's path is the best of all paths."""
+    draw = np.random.default_rng(9)
+    tagger = pii.Tagger(seed=3, hidden=4)
+    tagger.p["t"], tagger.p["s"] = (draw.normal(0, 1, x.shape).astype(np.float32) for x in (tagger.p["t"], tagger.p["s"]))
+    x = draw.integers(1, 20, (6, 4))
+    em = tagger.emissions(x)[0]
+    for n, got in enumerate(tagger.decode(x)):
+        value = lambda path: tagger.p["s"][path[0]] + sum(em[k, n, t] for k, t in enumerate(path)) + sum(tagger.p["t"][a, b] for a, b in itertools.pairwise(path))  # noqa: B023, E731
+        assert value(got.tolist()) == pytest.approx(max(map(value, itertools.product(range(len(pii.TAGS)), repeat=4))), abs=1e-4)
+
+
+def test_tagger_gradient():
+    """The likelihood's gradient against differences of the likelihood, by enumeration of all paths."""
+    draw = np.random.default_rng(4)
+    tagger = pii.Tagger(seed=5, hidden=3)
+    x, y = draw.integers(1, 20, (1, 3)), draw.integers(0, len(pii.TAGS), (1, 3))
+
+    def loss(em, trans):
+        value = lambda path: sum(em[k, 0, t] for k, t in enumerate(path)) + sum(trans[a, b] for a, b in itertools.pairwise(path))
+        every = np.array([value(p) for p in itertools.product(range(len(pii.TAGS)), repeat=3)])
+        return every.max() + math.log(np.exp(every - every.max()).sum()) - value(y[0].tolist())
+
+    em = tagger.emissions(x)[0].astype(float)
+    trans = tagger.p["t"].astype(float)
+    grad, dt, _ = tagger._crf(em, y)
+    for at in [(0, 0, int(y[0, 0])), (1, 0, 2), (2, 0, int(y[0, 2]))]:
+        step = np.zeros_like(em)
+        step[at] = 1e-4
+        assert grad[at] == pytest.approx((loss(em + step, trans) - loss(em - step, trans)) / 2e-4, abs=1e-4)
+    step = np.zeros_like(trans)
+    step[1, 2] = 1e-4
+    assert dt[1, 2] == pytest.approx((loss(em, trans + step) - loss(em, trans - step)) / 2e-4, abs=1e-4)

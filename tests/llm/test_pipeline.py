@@ -1,10 +1,15 @@
 """The pipeline's stages against the operators and brute force."""
 
+import os
+import re
+
 import numpy as np
+import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from carelake.llm import shingle_sets
+from carelake.llm import pii, quality_model, shingle_sets, textstats, toxicity
 
 DATA = "/root/testdata/sf0.001"
 
@@ -109,3 +114,66 @@ def test_near_dedup_odd_rows(spark):
     got = sorted(r[2] for r in kept.collect())
     assert len(got) == 4 and set(got) & {2, 3} and set(got) & {4, 5} and {6, 7} <= set(got)
     assert shingle_sets.keep_one(docs.limit(0)).count() == 0
+
+
+def plain_redaction(text):
+    """The four patterns one by one, without the network."""
+    digits = lambda x: re.sub("[^0-9]", "", x)
+    spans = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    spans += [(m.start(), 1, m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m[0].split("."))]
+    spans += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text) if 12 <= len(digits(m[0])) <= 19 and pii.luhn(digits(m[0]))]
+    spans += [(m.start(), 3, m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text) if 9 <= len(digits(m[0])) <= 15]
+    out, at = "", 0
+    for a, kind, b in sorted(spans):
+        if a >= at:
+            out += text[at:a] + f"[{pii.KINDS[kind].upper()}]"
+        at = max(at, b)
+    return out + text[at:]
+
+
+def test_each_stage_by_plain_computation(spark):
+    data = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "labels"))
+    text = {r.doc_id: r.text or "" for r in docs.collect()}
+    stages = dict(corpus_pipeline.STAGES)
+    ids = lambda frame: {r.doc_id for r in frame.select("doc_id").collect()}
+    model = quality_model.fit(docs, labels)
+    assert ids(stages["quality_classifier"](spark, docs, data)) == {i for i, t in text.items() if model.score(np.array([textstats.features(t)], float))[0] >= 0.3}
+    lexicon = toxicity.fit(docs, labels)
+    assert ids(stages["toxicity"](spark, docs, data)) == {i for i, t in text.items() if lexicon.score(t) < 0.5}
+    tagger = pii.fit(docs)
+    redacted = {r.doc_id: r for r in stages["pii"](spark, docs, data).collect()}
+    assert redacted.keys() == text.keys()
+    touched = 0
+    for i, t in text.items():
+        if not pii.all_spans(tagger, [t])[0][1]:  # the network adds nothing
+            assert (redacted[i].text or "") == plain_redaction(t)
+            touched += redacted[i].text != t
+        assert redacted[i].text is None or redacted[i].n_chars == len(redacted[i].text)
+    assert touched > 10
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    some = docs.where("doc_id % 7 = 0")
+    want = sorted((i, k // 2048, k, min(2048, n - k)) for i, t in text.items() if i % 7 == 0 for n in [len(library.encode(t, add_special_tokens=False).ids) + 1] for k in range(0, n, 2048))
+    assert sorted((r.doc_id, r.piece, r.start, r.length) for r in stages["best_fit_packing"](spark, some, data).collect()) == want
+
+
+def test_empty_long_and_clashing(spark):
+    clash = ["row_of_classifier", "text_of_row", "id", "fp", "head", "score", "predicted", "redacted", "row_of_redact", "_row_of_keep_one", "label", "hash"]
+    rows = [(1, "Good words of some length here. " * 20_000, *[f"c{k}" for k in range(len(clash))]), (2, None, *[None] * len(clash)), (None, "mail a.b@c.org now", *["x"] * len(clash))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{c} string" for c in clash))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, DATA)
+        assert stage(spark, docs.limit(0), DATA).count() == 0
+        if name != "best_fit_packing":
+            assert out.columns == docs.columns
+            assert all(tuple(r[c] for c in clash) in {x[2:] for x in rows} for r in out.collect())
+
+
+def test_run_leaves_only_its_last_tables(spark, tmp_path):
+    from carelake.llm import common
+
+    before = len(common.MADE)
+    rows = corpus_pipeline.run(spark, DATA).collect()
+    assert rows and [r.length for r in rows]
+    made = [p.removeprefix("file://") for p in common.MADE[before:]]
+    assert len(made) > 10 and sum(os.path.exists(p) for p in made) <= 4
