@@ -22,9 +22,13 @@ def _fields(line: Column, separator: Column) -> Column:
 
 
 def parse(messages: DataFrame, raw: str = "raw") -> DataFrame:
-    """messages with segments, type (MSH-9), control_id (MSH-10) and version (MSH-12); texts without an MSH segment get an error."""
+    """messages with segments, the first one of each type, type (MSH-9), control_id (MSH-10) and version (MSH-12); texts without an MSH segment get an error."""
     out = messages.withColumn("segments", segments(F.col(raw)))
-    msh = F.get(F.filter("segments", lambda s: s[0] == "MSH"), F.lit(0))
+    names = F.transform("segments", lambda s: s[0])
+    kinds = F.array_distinct(names)
+    # the first segment of each type is looked for once and not by each field
+    out = out.withColumn("firsts", F.map_from_arrays(kinds, F.transform(kinds, lambda n: F.element_at("segments", F.array_position(names, n).cast("int")))))
+    msh = first("MSH")
     return out.withColumns({"type": field(msh, 9), "control_id": field(msh, 10), "version": field(msh, 12), "error": F.when(msh.isNull(), "MISSING_MSH")})
 
 
@@ -34,7 +38,7 @@ def of_type(name: str) -> Column:
 
 
 def first(name: str) -> Column:
-    return F.get(of_type(name), F.lit(0))
+    return F.element_at(F.col("firsts"), name)
 
 
 # Message types and the events that they mean.
