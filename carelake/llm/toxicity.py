@@ -83,32 +83,40 @@ class Lexicon:
         """Texts count a form once. Copies, exact or near, share the weight of one text: they mostly have the same least hash of three words."""
         key = [min((zlib.crc32(" ".join(t).encode()) for t in zip(w, w[1:], w[2:], strict=False)), default=-k) for k, w in enumerate(docs)]
         copies = Counter(key)
-        by, n = [Counter(), Counter()], [0.0, 0.0]
-        for words, label, k in zip(docs, y, key, strict=True):
-            weight, side = 1 / copies[k], by[int(label)]
-            n[int(label)] += weight
-            for f in {f for w in set(words) for f in forms(w)}:
-                side[f] += weight
-        widest: Counter = Counter()  # weight of the commonest word of each prefix: one word alone says nothing of other words with its prefix
-        for f, weight in by[1].items():
-            if f.endswith("$"):
-                for p in forms(f[:-1])[1:]:
-                    widest[p] = max(widest[p], weight)
+        index: dict[str, int] = {}
+        own = [np.unique(np.fromiter((index.setdefault(w, len(index)) for w in words), np.int64, len(words))) for words in docs]
+        weights, sides = [1 / copies[k] for k in key], [int(label) for label in y]
+        n = [sum(w for w, side in zip(weights, sides, strict=True) if side == k) for k in range(2)]
         found = []
-        for f in by[1].keys() | by[0].keys():
-            a, b = by[1][f], by[0][f]
-            if a + b >= LEAST_TEXTS and (f.endswith("$") or widest[f] <= 0.5 * a):
-                prior = FLOOR + PRIOR * (a + b) / (n[0] + n[1])
-                a, b = a + prior, b + prior
-                delta = math.log(a / (n[1] + PRIOR + 1)) - math.log(b / (n[0] + PRIOR + 1))
-                z = delta / math.sqrt(1 / a + 1 / b)
-                if abs(z) >= SIGNIFICANT:
-                    found.append((abs(z), f, delta))
+        whole = None
+        for size in (None, *PREFIXES):  # whole words first, then the prefixes of each length, as numbers
+            names: dict[str, int] = {}
+            form = np.array([k if size is None else names.setdefault(w[:size], len(names)) if size <= len(w) else -1 for k, w in enumerate(index)], np.int64)
+            seen = np.zeros((2, len(index) if size is None else len(names)))
+            for ids, weight, side in zip(own, weights, sides, strict=True):
+                held = ids if size is None else np.unique(form[ids])
+                seen[side, held[held >= 0]] += weight
+            if size is None:
+                whole, telling = seen[1], np.ones(seen.shape[1], bool)
+            else:  # one word alone says nothing of other words with its prefix
+                widest, has = np.zeros(seen.shape[1]), form >= 0
+                np.maximum.at(widest, form[has], whole[has])
+                telling = widest <= 0.5 * seen[1]
+            total = seen.sum(axis=0)
+            at = np.nonzero(telling & (total >= LEAST_TEXTS))[0]
+            prior = FLOOR + PRIOR * total[at] / (n[0] + n[1])
+            toxic, other = seen[1, at] + prior, seen[0, at] + prior
+            delta = np.log(toxic / (n[1] + PRIOR + 1)) - np.log(other / (n[0] + PRIOR + 1))
+            z = delta / np.sqrt(1 / toxic + 1 / other)
+            texts = list(index if size is None else names)
+            found += [(abs(v), f"{texts[i]}$" if size is None else texts[i], d) for i, v, d in zip(at.tolist(), z.tolist(), delta.tolist(), strict=True) if abs(v) >= SIGNIFICANT]
+        del index, own
         self.scores = {f: (z, max(-CLIP, min(CLIP, d))) for z, f, d in sorted(found, reverse=True)[:LEXICON]}
         plain = [self.token_scores(w) for w, label in zip(docs, y, strict=True) if not label]
         self._gumbel(plain)
         x = np.array([self.excess(self.token_scores(w)) for w in docs])
         self._logistic(x, y)
+        self.seen.clear()  # tasks begin with none
 
     def token_score(self, token: str) -> float:
         best = max((self.scores[f] for f in forms(token) if f in self.scores), default=None)
