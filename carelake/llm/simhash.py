@@ -151,21 +151,47 @@ def forest(prints: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
     return prints[moved], prints[label[moved]]
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(vertex, root) of all vertices of links (a, b): rounds hook each vertex to its least neighbour, shorten the paths and contract."""
+#: Links up to which one task joins them; more are contracted over all tasks first.
+SMALL_LINKS = 1_000_000
+
+
+def _joined(edges: DataFrame) -> DataFrame:
+    """(a, p) of all vertices of a bounded number of links: one task reads them and finds the least vertex of each component."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [[c.to_numpy(zero_copy_only=False) for c in batch.columns] for batch in batches]
+        if held:
+            ends = np.concatenate([np.concatenate(x) for x in zip(*held, strict=True)])
+            names, at = np.unique(ends, return_inverse=True)
+            label = roots(at[: len(at) // 2], at[len(at) // 2 :], len(names))
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(names[label])], names=["a", "p"])
+
+    return edges.select("a", "b").coalesce(1).mapInArrow(run, "a long, p long")
+
+
+def components(links: DataFrame, small: int = SMALL_LINKS) -> DataFrame:
+    """(vertex, root) of all vertices of links (a, b); root is the least vertex of the component.
+
+    Rounds hook each vertex to its least neighbour, shorten the paths and contract, until so few links are left that one task joins them.
+    """
     edges = staged(links.where("a <> b"), "links")
     mapping: DataFrame | None = None
-    while not edges.isEmpty():
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hook = staged(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("p")), "hooks")
-        for _ in range(2):
-            above = hook.select(F.col("a").alias("p"), F.col("p").alias("q"))
-            hook = staged(hook.join(above, "p").select("a", F.col("q").alias("p")), "hooks")
+    while n := edges.count():
+        if n <= small:
+            hook = staged(_joined(edges), "hooks")
+        else:
+            both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            hook = staged(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("p")), "hooks")
+            for _ in range(2):
+                above = hook.select(F.col("a").alias("p"), F.col("p").alias("q"))
+                hook = staged(hook.join(above, "p").select("a", F.col("q").alias("p")), "hooks")
         if mapping is None:
             mapping = hook.select(F.col("a").alias("vertex"), F.col("p").alias("root"))
         else:
             step = hook.select(F.col("a").alias("root"), "p")
             mapping = staged(mapping.join(step, "root", "left").select("vertex", F.coalesce("p", "root").alias("root")), "mapping")
+        if n <= small:
+            return mapping
         ends = [hook.select(F.col("a").alias(c), F.col("p").alias(f"p{c}")) for c in "ab"]
         edges = staged(edges.join(ends[0], "a").join(ends[1], "b").select(F.col("pa").alias("a"), F.col("pb").alias("b")).where("a <> b").distinct(), "links")
     if mapping is None:

@@ -184,11 +184,13 @@ def test_tree_loses_no_pair():
         assert any(a in s and b in s for s in shards)
 
 
-def test_components_of_chains(spark):
+@pytest.mark.parametrize("small", [0, 15, 1000])
+def test_components_of_chains(spark, small):
     links = [(k, k + 1) for k in range(60)] + [(200 + 2 * k, 198 + 2 * k) for k in range(20)] + [(500, 500)]
-    got = {r.vertex: r.root for r in simhash.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    got = {r.vertex: r.root for r in simhash.components(spark.createDataFrame(links, "a long, b long"), small).collect()}
     assert all(got[k] == 0 for k in range(61))
-    assert all(got[198 + 2 * k] == 198 for k in range(21))
+    assert all(got[198 + 2 * k] == 198 for k in range(21)) and len(got) == 82
+    assert simhash.components(spark.createDataFrame([], "a long, b long"), small).count() == 0
 
 
 def simple_stats(text):
