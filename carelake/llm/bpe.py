@@ -20,7 +20,7 @@ from functools import lru_cache
 import numpy as np
 from pyspark.sql import DataFrame
 
-from .common import map_texts
+from .common import HELD, map_texts
 
 NONE = np.iinfo(np.int32).max - 1
 #: Entries of each table, characters of a text handled at once, characters up to which words and chunks are kept.
@@ -435,9 +435,16 @@ class Encoder:
 def kept_encoder(path: str, kind: str) -> Encoder:
     """An encoder that a worker process keeps from task to task, with its tables: chunks as bytes of 32-bit ids, or as ids and tokens in text."""
     vocab = vocabulary(path)
+    HELD["bpe"] = forget_encoders
     return Encoder(vocab, BYTES if kind == "bytes" else texts_of(vocab))
 
 
+def forget_encoders() -> None:
+    HELD.pop("bpe", None)
+    kept_encoder.cache_clear()
+    vocabulary.cache_clear()
+
+
 def decode(vocab: Vocabulary, ids: Iterable[int]) -> str:
     """As the library does for a file without a decoder: the tokens with a space between; ids that aren't in the vocabulary are passed over."""
     return " ".join([vocab.tokens[i] for i in ids if i in vocab.tokens])
@@ -469,5 +476,5 @@ def encode_digests(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str
         return digests
 
     plain = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"))
-    return map_texts(plain, ["doc_id"], "text", make, "n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_texts(plain, ["doc_id"], "text", make, "n_tokens long, ids_sha256 string, decoded_sha256 string", "bpe")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -67,10 +69,33 @@ def held_out(doc_id) -> object:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def map_texts(df: DataFrame, keep: list[str], text: str, make: Callable[[], Callable[[list[str]], list[tuple]]], schema: str) -> DataFrame:
+#: What worker processes keep from task to task: by name, how it is forgotten.
+HELD: dict[str, Callable[[], None]] = {}
+
+
+def only(name: str | None) -> None:
+    """At the start of a task: a worker forgets what other operators' tasks have left in it, and gives the memory back."""
+    others = [clear for k, clear in HELD.items() if k != name]
+    for clear in others:
+        clear()
+    if others or name is None:
+        gc.collect()
+        give_back()
+
+
+def give_back() -> None:
+    """Freed memory goes back to the system where its allocators can do so."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        return  # another C library, which has no such call
+
+
+def map_texts(df: DataFrame, keep: list[str], text: str, make: Callable[[], Callable[[list[str]], list[tuple]]], schema: str, keeper: str | None = None) -> DataFrame:
     """The columns ``keep`` and, as further columns of ``schema``, what make() gives for the texts of a batch; null texts are empty.
 
-    make is called once in each task, on the executor. It needs no shuffle: each row is handled where it is read.
+    make is called once in each task, on the executor; keeper names what may be kept there for the next task. It needs no shuffle: each row is handled where it is read.
     """
     spark = df.sparkSession
     limit_batches(spark)
@@ -82,6 +107,7 @@ def map_texts(df: DataFrame, keep: list[str], text: str, make: Callable[[], Call
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
+        only(keeper)
         own, f = to_arrow_schema(target), make()
         for batch in batches:
             rows = f(batch.column(len(keep)).to_pylist())
@@ -114,6 +140,7 @@ def sorted_groups(df: DataFrame, key: str, run: Callable[[int, list[pa.Array]],
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
+        only(None)
         own, held = to_arrow_schema(target), []
 
         def made(table: pa.Table, ends: list[int]) -> pa.RecordBatch:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import kept_encoder
-from .common import limit_batches, staged
+from .common import limit_batches, only, staged
 
 CAPACITY = 2048
 PIECES = "doc_id {id}, piece int, start long, length long, ids_crc32 long"
@@ -67,6 +67,7 @@ def token_pieces(docs: DataFrame, path: str, end_id: int = 0, capacity: int = CA
     plain = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only("bpe")
         encoder = kept_encoder(path, "bytes")
         for batch in batches:
             rows, pieces, starts, lengths, sums = [], [], [], [], []
