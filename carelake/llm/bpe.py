@@ -1,6 +1,6 @@
 """BPE encoding and decoding by proposal and proof, for word-end vocabularies in the tokenizers library's file format.
 
-Texts are cut at white space; each different chunk is normalised and split into words once. For a new word, greedy longest match proposes
+Texts are cut at white space and their chunks numbered, a few megabytes at a time; each different chunk is normalised and split into words once. For a new word, greedy longest match proposes
 tokens. A sequence of tokens is what the merges would give exactly if each adjacent pair of it is, so one vectorised test undoes the merges
 at the edges of all proposed pairs of a batch, latest first, and looks for a merge across the edge that would have come earlier. Only words
 with a failing pair go through the merges themselves. Chunk and word results are kept in tables of bounded size.
@@ -18,13 +18,15 @@ from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .common import HELD, map_texts
 
 NONE = np.iinfo(np.int32).max - 1
 #: Entries of each table, characters of a text handled at once, characters up to which words and chunks are kept.
-TABLE, SLICE, KEPT = 400_000, 1 << 20, 64
+TABLE, SLICE, KEPT = 400_000, 4 << 20, 64
 #: More than the highest letter that stands for a byte.
 LETTERS = 512
 #: Characters up to here have the same properties in all Unicode versions and no compositions; the library itself normalises others.
@@ -288,22 +290,17 @@ class Vocabulary:
         own = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(chunk))
         return [bytes(map(self.letter_bytes.__getitem__, w)).decode() for w, _ in own]
 
-    def split_chunks(self, chunks: list[str]) -> list[list[str | int]]:
-        """Words, and ids of special strings, of chunks without white space: the plain ones are cut in one go."""
-        plain = ["" if BEYOND.search(c) or self.special_pattern and "<" in c and self.special_pattern.search(c) else c for c in chunks] if BEYOND.search("".join(chunks)) or any("<|" in c for c in chunks) else chunks
-        out: list[list[str | int]] = []
-        own: list[str | int] = []
-        for w in PLAIN_WORDS.findall("\n".join(plain).lower() + "\n"):
-            if w == "\n":
-                out.append(own)
-                own = []
-            else:
-                own.append(w)
-        if plain is not chunks:
-            for k, (c, x) in enumerate(zip(chunks, plain, strict=True)):
-                if not x:
-                    out[k] = self.split_odd(c)
-        return out
+    def split_chunks(self, chunks: list[str]) -> tuple[list[str | int], np.ndarray]:
+        """The different words, and ids of special strings, of chunks without white space, and the places among them of all in order; a line end stands after each chunk.
+
+        The plain chunks are cut in one go.
+        """
+        text = "\n".join(chunks)
+        if not BEYOND.search(text) and "<|" not in text:
+            coded = pa.array(PLAIN_WORDS.findall(text.lower() + "\n"), pa.large_string()).dictionary_encode()
+            return coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        numbers: dict[str | int, int] = {}
+        return numbers, np.array([numbers.setdefault(w, len(numbers)) for c in chunks for w in (*self.split_odd(c), "\n")])
 
 
 @lru_cache(maxsize=4)
@@ -329,17 +326,20 @@ class Table(dict):
         super().__init__()
         self.size, self.older = size, {}
 
-    def known(self, keys: set[str]) -> tuple[dict[str, object], list[str]]:
-        """The values of those of the keys that either half has, and the other keys."""
-        order = list(keys)
-        found = dict(zip(order, map(self.get, order), strict=True))
-        absent = [k for k, v in found.items() if v is None]
+    def known(self, keys: list[str]) -> tuple[list, list[int]]:
+        """The values of the keys that either half has, None for the others, and the places of those."""
+        values = list(map(self.get, keys))
+        absent = [i for i, v in enumerate(values) if v is None]
         if self.older and absent:
-            again = {k: v for k, v in zip(absent, map(self.older.get, absent), strict=True) if v is not None}
-            self.update(again)
-            found.update(again)
-            absent = [k for k in absent if k not in again]
-        return found, absent
+            get, rest = self.older.get, []
+            for i in absent:
+                v = get(keys[i])
+                if v is None:
+                    rest.append(i)
+                else:
+                    self[keys[i]] = values[i] = v
+            absent = rest
+        return values, absent
 
     def trim(self) -> None:
         if len(self) > self.size:
@@ -348,29 +348,41 @@ class Table(dict):
 
 
 class Rendering:
-    """What is kept of words and chunks: words gives the values of words from their tokens and bounds, join that of a chunk of several words."""
+    """What is kept of words and chunks: values gives those of words from their tokens and bounds, split the columns of many values, unite the reverse.
+
+    A column holds byte strings; what a chunk gives in it is what its words give, one after another.
+    """
 
-    def __init__(self, words: Callable[[np.ndarray, list[int]], list], join: Callable[[list], object]):
-        self.words, self.join = words, join
+    def __init__(self, values: Callable[[np.ndarray, list[int]], list], split: Callable[[list], list] = lambda x: [x], unite: Callable[[list], list] = lambda x: x[0]):
+        self.values, self.split, self.unite = values, split, unite
+
+    def gather(self, values: list, place: np.ndarray | pa.Array, bounds: np.ndarray) -> list[list[bytes]]:
+        """In each column, what the values at the places from one bound to the next give, one after another."""
+        columns, place = [], place if isinstance(place, pa.Array) else pa.array(place)
+        for column in self.split(values):
+            row = pa.array(column, pa.large_binary()).take(place)
+            _, ends, data = row.buffers()
+            columns.append(_between(data.to_pybytes() if data else b"", np.frombuffer(ends, np.int64)[row.offset :][bounds].tolist()))
+        return columns
 
 
 def _between(flat, bounds: list[int]) -> list:
     return [flat[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
 
 
-LISTS = Rendering(lambda flat, bounds: _between(flat.tolist(), bounds), lambda parts: [t for p in parts for t in p])
-BYTES = Rendering(lambda flat, bounds: _between(flat.astype("<u4").tobytes(), [4 * b for b in bounds]), b"".join)
+#: The ids as 32-bit numbers.
+LISTS = Rendering(lambda flat, bounds: _between(flat.astype("<u4").tobytes(), [4 * b for b in bounds]))
 
 
 def texts_of(vocab: Vocabulary) -> Rendering:
-    """Pairs of texts: the ids, and the tokens, with a space between."""
-    numbers, names = {t: str(t) for t in vocab.tokens}, vocab.tokens
+    """Two columns: the ids, and the tokens, in text with a space before each."""
+    numbers, names = {t: b" %d" % t for t in vocab.tokens}, {t: b" " + x.encode() for t, x in vocab.tokens.items()}
 
-    def words(flat: np.ndarray, bounds: list[int]) -> list[tuple[str, str]]:
-        own = flat.tolist()
-        return [(" ".join(x), " ".join(y)) for x, y in zip(_between([numbers[t] for t in own], bounds), _between([names[t] for t in own], bounds), strict=True)]
+    def values(flat: np.ndarray, bounds: list[int]) -> list[tuple[bytes, bytes]]:
+        own, join = flat.tolist(), b"".join
+        return [(join(x), join(y)) for x, y in zip(_between([numbers[t] for t in own], bounds), _between([names[t] for t in own], bounds), strict=True)]
 
-    return Rendering(words, lambda parts: (" ".join([x for x, _ in parts]), " ".join([y for _, y in parts])))
+    return Rendering(values, lambda x: list(zip(*x, strict=True)), lambda x: list(zip(*x, strict=True)))
 
 
 class Encoder:
@@ -381,54 +393,78 @@ class Encoder:
         gc.set_threshold(500_000, 20, 100)
         self.vocab, self.rendering, self.chunks, self.words = vocab, rendering, Table(size), Table(size // 4)
 
-    def single(self, token: int) -> object:
-        return self.rendering.words(np.array([token]), [0, 1])[0]
-
-    def learn(self, chunks: list[str]) -> dict[str, object]:
+    def learn(self, chunks: list[str]) -> list:
         """Values of chunks; their short words are kept."""
         if not chunks:
-            return {}
-        split = self.vocab.split_chunks(chunks)
-        byte_map, rendering = self.vocab.byte_map, self.rendering
-        known, new = self.words.known({w for x in split for w in x})
-        own = [w for w in new if w.__class__ is str]
+            return []
+        different, place = self.vocab.split_chunks(chunks)
+        words, rendering = list(different), self.rendering
+        mark = words.index("\n")
+        values, absent = self.words.known(words)
+        own = [i for i in absent if words[i].__class__ is str and i != mark]
         if own:
-            letters = own if (text := "".join(own)).isascii() and text.isprintable() else [w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(byte_map) for w in own]
-            flat, bounds, long = self.vocab.encode_words(letters)
-            values = rendering.words(flat, bounds)
-            for k, ids in long.items():
-                values[k] = rendering.words(np.array(ids), [0, len(ids)])[0]
-            made = dict(zip(own, values, strict=True))
-            known.update(made)
-            self.words.update(made if max(map(len, own)) <= KEPT else {w: v for w, v in made.items() if len(w) <= KEPT})
-        known.update((w, self.single(w)) for w in new if w.__class__ is int)
+            made = self._encoded([words[i] for i in own])
+            for i, v in zip(own, made, strict=True):
+                values[i] = v
+            self.words.update((words[i], v) for i, v in zip(own, made, strict=True) if len(words[i]) <= KEPT)
+        for i in absent:
+            if words[i].__class__ is int:
+                values[i] = rendering.values(np.array([words[i]]), [0, 1])[0]
+        values[mark] = rendering.values(np.array([], np.int64), [0, 0])[0]
         self.words.trim()
-        join = rendering.join
-        return {c: known[x[0]] if len(x) == 1 else join([known[w] for w in x]) for c, x in zip(chunks, split, strict=True)}
-
-    def values(self, texts: Iterable[str]) -> Iterator[tuple[int, list]]:
-        """(number of the text, values of the chunks of a slice of it) in order; texts without chunks don't appear."""
-        group, size = [], 0
+        return rendering.unite(rendering.gather(values, place, np.concatenate([[0], np.nonzero(place == mark)[0] + 1])))
+
+    def _encoded(self, words: list[str]) -> list:
+        """Values of words that no table has."""
+        byte_map, text = self.vocab.byte_map, "".join(words)
+        letters = words if text.isascii() and text.isprintable() else [w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(byte_map) for w in words]
+        flat, bounds, long = self.vocab.encode_words(letters)
+        values = self.rendering.values(flat, bounds)
+        for k, ids in long.items():
+            values[k] = self.rendering.values(np.array(ids), [0, len(ids)])[0]
+        return values
+
+    def values(self, texts: Iterable[str]) -> Iterator[tuple[int, list[list[int]]]]:
+        """(number of the text, lists of the ids of a slice of it) in order, for LISTS; empty texts don't appear."""
+        for k, (ids,) in self.joined(texts):
+            yield k, [np.frombuffer(ids, "<u4").tolist()]
+
+    def joined(self, texts: Iterable[str]) -> Iterator[tuple[int, tuple[bytes, ...]]]:
+        """(number of the text, what the chunks of a slice of it give in each column) in order; empty texts don't appear."""
+        for own, bounds, place, values in self._slices(texts):
+            yield from zip(own, zip(*self.rendering.gather(values, place, bounds), strict=True), strict=True)
+
+    def _slices(self, texts: Iterable[str]) -> Iterator[tuple[list[int], np.ndarray, pa.Array, list]]:
+        """For some slices at a time: the numbers of their texts, bounds of their chunks, for each chunk its place among the values, the values."""
+        own, parts, size = [], [], 0
         for k, text in enumerate(texts):
             for part in slices(text):
-                group.append((k, part.split() if not SEPARATORS.search(part) else [c for c in SPACE.split(part) if c]))
+                own.append(k)
+                parts.append(part)
                 size += len(part)
                 if size >= SLICE:
-                    yield from self._render(group)
-                    group, size = [], 0
-        yield from self._render(group)
-
-    def _render(self, group: list[tuple[int, list[str]]]) -> Iterator[tuple[int, list]]:
-        """The slices' own chunks are looked up in a table of their own, which is small enough to stay near."""
-        own, absent = self.chunks.known(set().union(*[x for _, x in group]))
-        new = self.learn(absent)
-        own.update(new)
-        self.chunks.update(new if not new or max(map(len, new)) <= KEPT else {c: v for c, v in new.items() if len(c) <= KEPT})
+                    yield own, *self._number(parts)
+                    own, parts, size = [], [], 0
+        if own:
+            yield own, *self._number(parts)
+
+    def _number(self, parts: list[str]) -> tuple[np.ndarray, pa.Array, list]:
+        """Each different chunk is looked up once; the empty ones that stand at white space at an end are worth nothing."""
+        texts = pa.array(parts, pa.large_string())
+        if pc.any(pc.match_substring_regex(texts, SEPARATORS.pattern)).as_py():
+            chunks = pa.array([SPACE.split(x) for x in parts], pa.list_(pa.large_string()))
+        else:
+            chunks = pc.utf8_split_whitespace(texts)
+        coded = chunks.values.dictionary_encode()
+        different = coded.dictionary.to_pylist()
+        values, absent = self.chunks.known(different)
+        new = [different[i] for i in absent]
+        made = self.learn(new)
+        for i, v in zip(absent, made, strict=True):
+            values[i] = v
+        self.chunks.update(zip(new, made, strict=True) if not new or max(map(len, new)) <= KEPT else [(c, v) for c, v in zip(new, made, strict=True) if len(c) <= KEPT])
         self.chunks.trim()
-        get = own.__getitem__
-        for k, x in group:
-            if x:
-                yield k, list(map(get, x))
+        return chunks.offsets.to_numpy(), coded.indices, values
 
 
 @lru_cache(maxsize=4)
@@ -436,7 +472,7 @@ def kept_encoder(path: str, kind: str) -> Encoder:
     """An encoder that a worker process keeps from task to task, with its tables: chunks as bytes of 32-bit ids, or as ids and tokens in text."""
     vocab = vocabulary(path)
     HELD["bpe"] = forget_encoders
-    return Encoder(vocab, BYTES if kind == "bytes" else texts_of(vocab))
+    return Encoder(vocab, LISTS if kind == "bytes" else texts_of(vocab))
 
 
 def forget_encoders() -> None:
@@ -451,7 +487,7 @@ def decode(vocab: Vocabulary, ids: Iterable[int]) -> str:
 
 
 def encode(vocab: Vocabulary, text: str) -> list[int]:
-    return [t for _, part in Encoder(vocab).values([text]) for x in part for t in x]
+    return [t for _, part in Encoder(vocab).values([text]) for ids in part for t in ids]
 
 
 def encode_digests(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -465,16 +501,14 @@ def encode_digests(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str
 
         def digests(texts: list[str]) -> list[tuple[int, str, str]]:
             n, ids, decoded = [0] * len(texts), [hashlib.sha256() for _ in texts], [hashlib.sha256() for _ in texts]
-            for k, part in encoder.values(texts):
-                for total, x in ((ids[k], 0), (decoded[k], 1)):
-                    joined = " ".join([y[x] for y in part if y[x]])
-                    if joined:
-                        total.update((" " * (n[k] > 0) + joined).encode())
-                n[k] += joined.count(" ") + bool(joined)
+            for k, part in encoder.joined(texts):
+                for total, x in zip((ids[k], decoded[k]), part, strict=True):
+                    total.update(x if n[k] else x[1:])
+                n[k] += part[0].count(b" ")
             return [(i, x.hexdigest(), y.hexdigest()) for i, x, y in zip(n, ids, decoded, strict=True)]
 
         return digests
 
     plain = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"))
-    return map_texts(plain, ["doc_id"], "text", make, "n_tokens long, ids_sha256 string, decoded_sha256 string", "bpe")
+    return map_texts(plain, ["doc_id"], "text", make, "n_tokens long, ids_sha256 string, decoded_sha256 string", "bpe", SLICE)
 

@@ -92,10 +92,24 @@ def give_back() -> None:
         return  # another C library, which has no such call
 
 
-def map_texts(df: DataFrame, keep: list[str], text: str, make: Callable[[], Callable[[list[str]], list[tuple]]], schema: str, keeper: str | None = None) -> DataFrame:
+def gathered(batches: Iterator[pa.RecordBatch], size: int, most: int = 100 * BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches put together until they have size bytes or most rows."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= size or sum(b.num_rows for b in held) >= most:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
+def map_texts(
+    df: DataFrame, keep: list[str], text: str, make: Callable[[], Callable[[list[str]], list[tuple]]], schema: str, keeper: str | None = None, gather: int = 0
+) -> DataFrame:
     """The columns ``keep`` and, as further columns of ``schema``, what make() gives for the texts of a batch; null texts are empty.
 
-    make is called once in each task, on the executor; keeper names what may be kept there for the next task. It needs no shuffle: each row is handled where it is read.
+    make is called once in each task, on the executor; keeper names what may be kept there for the next task. Batches below gather bytes are put together. It needs no shuffle: each row is handled where it is read.
     """
     spark = df.sparkSession
     limit_batches(spark)
@@ -109,7 +123,7 @@ def map_texts(df: DataFrame, keep: list[str], text: str, make: Callable[[], Call
 
         only(keeper)
         own, f = to_arrow_schema(target), make()
-        for batch in batches:
+        for batch in gathered(batches, gather) if gather else batches:
             rows = f(batch.column(len(keep)).to_pylist())
             columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
             made = [pa.array(c, own.field(i).type) for i, c in enumerate(columns)]

@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import kept_encoder
-from .common import limit_batches, only, staged
+from .bpe import SLICE, kept_encoder
+from .common import gathered, limit_batches, only, staged
 
 CAPACITY = 2048
 PIECES = "doc_id {id}, piece int, start long, length long, ids_crc32 long"
@@ -69,7 +69,7 @@ def token_pieces(docs: DataFrame, path: str, end_id: int = 0, capacity: int = CA
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         only("bpe")
         encoder = kept_encoder(path, "bytes")
-        for batch in batches:
+        for batch in gathered(batches, SLICE):
             rows, pieces, starts, lengths, sums = [], [], [], [], []
 
             def emit(row: int, at: int, data: bytes, out=(rows, pieces, starts, lengths, sums)) -> None:
@@ -77,12 +77,12 @@ def token_pieces(docs: DataFrame, path: str, end_id: int = 0, capacity: int = CA
                     column.append(x)
 
             texts = batch.column(1).to_pylist()
-            stream = encoder.values(texts)
+            stream = encoder.joined(texts)
             k, part = next(stream, (len(texts), []))
             for row in range(len(texts)):
                 pending, done = b"", 0
                 while k == row:
-                    pending += b"".join(part)
+                    pending += part[0]
                     whole = (len(pending) // 4 - 1) // capacity if len(pending) else 0
                     for i in range(whole):
                         emit(row, done + i * capacity, pending[4 * i * capacity : 4 * (i + 1) * capacity])

@@ -72,6 +72,26 @@ def test_bpe_equals_library(library, texts):
         assert bpe.decode(vocab, got) == library.decode(got, skip_special_tokens=False)
 
 
+@pytest.mark.parametrize("size", [20_000, 4 << 20])
+def test_bpe_columns_of_slices(library, texts, size, monkeypatch):
+    """Many texts at a time, and texts in several slices, in both renderings."""
+    monkeypatch.setattr(bpe, "SLICE", size)
+    monkeypatch.setattr(bpe.slices, "__defaults__", (size,))
+    vocab, draw = bpe.vocabulary(VOCABULARY), random.Random(2)
+    made = ["".join(draw.choice("abceinorstthe 'st\n1<|éñÉ.,") for _ in range(draw.randint(0, 60))) for _ in range(300)]
+    every = [t or "" for _, t in ODD] + made + [t for _, t in texts[:60]]
+    for rendering in (bpe.LISTS, bpe.texts_of(vocab)):
+        got = [[b"", b""] for _ in every]
+        for k, part in bpe.Encoder(vocab, rendering, 200).joined(every):
+            got[k] = [a + b for a, b in zip(got[k], part, strict=False)]
+        for text, own in zip(every, got, strict=True):
+            ids = ids_of(library, text)
+            if rendering is bpe.LISTS:
+                assert own[0] == np.array(ids, "<u4").tobytes()
+            else:
+                assert own == ["".join(f" {x}" for x in ids).encode(), "".join(f" {vocab.tokens[x]}" for x in ids).encode()]
+
+
 def test_bpe_every_character(library):
     vocab = bpe.vocabulary(VOCABULARY)
     text = " ".join(f"a{chr(c)}b {chr(c)}A" for c in itertools.chain(range(1, 0xD800), range(0xE000, 0x20000), range(0x20000, 0x110000, 97)))
