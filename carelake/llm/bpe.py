@@ -1,6 +1,6 @@
 """BPE encoding and decoding by proposal and proof, for word-end vocabularies in the tokenizers library's file format.
 
-Texts are cut at white space and their chunks numbered, a few megabytes at a time; each different chunk is normalised and split into words once. For a new word, greedy longest match proposes
+Texts are cut at white space and their chunks numbered, some megabytes at a time; each different chunk is normalised and split into words once. For a new word, greedy longest match proposes
 tokens. A sequence of tokens is what the merges would give exactly if each adjacent pair of it is, so one vectorised test undoes the merges
 at the edges of all proposed pairs of a batch, latest first, and looks for a merge across the edge that would have come earlier. Only words
 with a failing pair go through the merges themselves. Chunk and word results are kept in tables of bounded size.
@@ -26,7 +26,7 @@ from .common import HELD, map_texts
 
 NONE = np.iinfo(np.int32).max - 1
 #: Entries of each table, characters of a text handled at once, characters up to which words and chunks are kept.
-TABLE, SLICE, KEPT = 400_000, 4 << 20, 64
+TABLE, SLICE, KEPT = 400_000, 2 << 20, 64
 #: More than the highest letter that stands for a byte.
 LETTERS = 512
 #: Characters up to here have the same properties in all Unicode versions and no compositions; the library itself normalises others.
