@@ -52,12 +52,12 @@ def dose_quantity(dose: Column, unit: Column) -> Column:
 def timing(frequency: Column) -> Column:
     """Struct of a timing's text, code and repeat; repeat is null for what isn't a regular one."""
     key = F.upper(F.trim(frequency))
-    repeat = F
-    for name, (_, times, period, unit) in TIMINGS.items():
-        repeat = repeat.when(key == name, F.struct(F.lit(times).alias("frequency"), F.lit(period).alias("period"), F.lit(unit).alias("periodUnit")))
+    # one look-up and not a branch for each timing: methods of over 8000 bytes of code are never compiled, and resources are made many to a method
+    repeats = F.array(*[F.struct(F.lit(times).alias("frequency"), F.lit(period).alias("period"), F.lit(unit).alias("periodUnit")) for _, times, period, unit in TIMINGS.values()])
+    repeat = F.element_at(F.map_from_arrays(F.array(*[F.lit(k) for k in TIMINGS]), repeats), key)
     code = F.coalesce(known({k: v[0] for k, v in TIMINGS.items()}, key), F.when(key.isin("PRN", "STAT"), key))
     coding = F.when(code.isNotNull(), F.array(F.struct(F.lit("http://terminology.hl7.org/CodeSystem/v3-GTSAbbreviation").alias("system"), code.alias("code"))))
-    return F.when(key != "", F.struct(F.struct(coding.alias("coding"), frequency.alias("text")).alias("code"), repeat.otherwise(F.lit(None)).alias("repeat")))
+    return F.when(key != "", F.struct(F.struct(coding.alias("coding"), frequency.alias("text")).alias("code"), repeat.alias("repeat")))
 
 
 def vital_code(name: Column) -> Column:

@@ -307,13 +307,34 @@ FOREIGN = {"AllergyIntolerance": ["status"], "Goal": ["status"], "Condition": ["
 LISTS = {"CarePlan": ["category"], "MedicationRequest": ["dosageInstruction"], "Claim": ["insurance"], "DocumentReference": ["content"]}
 
 
+def _texts(entries: dict[str, list[str]], kind: Column) -> Column:
+    """The list that a kind has in entries, empty for other kinds."""
+    known = F.map_from_arrays(F.array(*[F.lit(k) for k in entries]), F.array(*[F.array(*[F.lit(f) for f in v]) for v in entries.values()]))
+    return F.coalesce(F.element_at(known, kind), F.array().cast("array<string>"))
+
+
 def issues(resource: Column) -> Column:
     """Array of issue texts: no type, unknown required fields missing, bad dates; empty for resources that pass."""
-    kind = F.get_json_object(resource, "$.resourceType")
-    tests = [F.when(kind.isNull(), "error:structure:resourceType")]
-    tests += [F.when((kind == k) & F.get_json_object(resource, f"$.{f}").isNull(), f"error:required:{k}.{f}") for k, fields in REQUIRED.items() for f in fields]
-    tests += [F.when((kind == k) & F.get_json_object(resource, f"$.{f}").isNotNull(), f"error:unknown:{k}.{f}") for k, fields in FOREIGN.items() for f in fields]
-    tests += [F.when((kind == k) & ~F.get_json_object(resource, f"$.{f}").startswith("["), f"error:structure:{k}.{f}") for k, fields in LISTS.items() for f in fields]
-    born = F.get_json_object(resource, "$.birthDate")
-    tests.append(F.when(born.isNotNull() & ~born.rlike("^[0-9]{4}(-[0-9]{2}(-[0-9]{2})?)?$"), "error:value:birthDate"))
-    return F.array_compact(F.array(*tests))
+    return checked(resource)["issues"]
+
+
+def checked(resource: Column) -> Column:
+    """Struct of a resource's kind and issues.
+
+    A resource is read once, into the texts of its members; a kind's fields are looked up there. Texts that aren't JSON objects have no type.
+    """
+
+    def found(m: Column) -> Column:
+        kind, has = m["resourceType"], lambda f: F.element_at(m, f).isNotNull()
+
+        def told(entries: dict[str, list[str]], wrong, what: str) -> Column:
+            return F.transform(F.filter(_texts(entries, kind), wrong), lambda f: F.concat(F.lit(f"error:{what}:"), kind, F.lit("."), f))
+
+        born = m["birthDate"]
+        odd = F.when(born.isNotNull() & ~born.rlike("^[0-9]{4}(-[0-9]{2}(-[0-9]{2})?)?$"), F.array(F.lit("error:value:birthDate"))).otherwise(F.array().cast("array<string>"))
+        listed = told(LISTS, lambda f: has(f) & ~F.startswith(F.element_at(m, f), F.lit("[")), "structure")
+        own = F.concat(told(REQUIRED, lambda f: ~has(f), "required"), told(FOREIGN, has, "unknown"), listed, odd)
+        return F.struct(kind.alias("kind"), F.when(kind.isNull(), F.concat(F.array(F.lit("error:structure:resourceType")), odd)).otherwise(own).alias("issues"))
+
+    members = F.coalesce(F.from_json(resource, "map<string,string>", {"allowNonNumericNumbers": "false"}), F.create_map().cast("map<string,string>"))
+    return F.element_at(F.transform(F.array(members), found), 1)  # a lambda's argument is computed once

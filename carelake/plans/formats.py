@@ -15,6 +15,11 @@ def _json(path: str):
     return F.get_json_object("resource", f"$.{path}")
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """rows over all cores, where their files or a small shuffle would leave them to fewer tasks."""
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def _passes():
     return F.size(fhir.issues(F.col("resource"))).cast("long")
 
@@ -26,11 +31,14 @@ def fhir_medication_request(spark, sf_dir):
     status = F.when(F.col("o_orderstatus") == "F", "Completed").when(F.col("o_orderstatus") == "O", "ACTIVE").otherwise("odd")
     often = F.when(k % 3 == 0, "bid").when(k % 3 == 1, "Q6H").otherwise("as told")
     m = fhir.medication_request(k, F.col("o_custkey"), F.lit("313782"), F.lit("Acetaminophen"), F.lit("RXNORM"), F.col("o_orderdate"), status, none, (F.col("o_custkey") % 9).cast("string"), F.lit("MG"), F.lit("po"), often, F.lit(30.0), F.col("o_custkey") % 4)
-    r = table(spark, sf_dir, "orders").select(k.alias("k"), fhir.to_json(m).alias("resource"))
-    dosage = "dosageInstruction[0]"
+    o = _dealt(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus"))
+    dosage = "array<struct<doseAndRate:array<struct<doseQuantity:struct<value:double,code:string>>>,timing:struct<repeat:struct<frequency:double,periodUnit:string>>>>"
+    read = F.from_json("resource", f"status string, intent string, dosageInstruction {dosage}, dispenseRequest struct<numberOfRepeatsAllowed:long>")
+    r = o.select(k.alias("k"), fhir.to_json(m).alias("resource")).select("k", read.alias("m"), _passes().alias("issues"))
+    given = F.get("m.dosageInstruction", F.lit(0))
+    amount, repeat = F.get(given["doseAndRate"], F.lit(0))["doseQuantity"], given["timing"]["repeat"]
     return r.select(
-        "k", _json("status").alias("status"), _json("intent").alias("intent"), _json(f"{dosage}.doseAndRate[0].doseQuantity.value").cast("double").alias("dose"), _json(f"{dosage}.doseAndRate[0].doseQuantity.code").alias("unit"),
-        _json(f"{dosage}.timing.repeat.frequency").cast("double").alias("times"), _json(f"{dosage}.timing.repeat.periodUnit").alias("period"), _json("dispenseRequest.numberOfRepeatsAllowed").cast("long").alias("refills"), _passes().alias("issues"),
+        "k", "m.status", "m.intent", amount["value"].alias("dose"), amount["code"].alias("unit"), repeat["frequency"].alias("times"), repeat["periodUnit"].alias("period"), F.col("m.dispenseRequest.numberOfRepeatsAllowed").alias("refills"), "issues",
     )
 
 
