@@ -99,7 +99,7 @@ def results(spark, sf_dir) -> DataFrame:
 @query("""WITH n AS (SELECT l_orderkey AS k, count(*) AS n FROM lineitem GROUP BY 1)
 SELECT o_orderkey AS k, CASE o_orderkey % 4 WHEN 0 THEN 2 + coalesce(n, 0) WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE 0 END AS resources, CAST(0 AS BIGINT) AS issues, o_orderkey % 4 = 3 AS unsupported FROM orders LEFT JOIN n ON k = o_orderkey""")
 def fhir_bundle_by_event(spark, sf_dir):
-    e = fhir.by_event(hl7v2.events(results(spark, sf_dir)))
+    e = fhir.by_event(hl7v2.events(_dealt(results(spark, sf_dir))))
     wrong = F.aggregate(F.transform("resources", lambda r: F.size(fhir.issues(r)).cast("long")), F.lit(0).cast("long"), lambda s, x: s + x)
     return e.select("k", F.size("resources").cast("long").alias("resources"), wrong.alias("issues"), F.col("unsupported").isNotNull().alias("unsupported"))
 
