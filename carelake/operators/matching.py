@@ -28,12 +28,14 @@ def sided_pairs(records: DataFrame, record_id: str, keys: Column, columns: list[
     """(a, b, l, r) with a < b of records that share a key, each pair once, with the named columns of both (all if none are named).
 
     One join on the keys: a pair that shares several keys is made under the least of them only, so nothing has to be made distinct. A key with n
-    records makes n * (n - 1) / 2 pairs by nature; both sides are shuffled directly, so that adaptive execution can split a wide key.
+    records makes n * (n - 1) / 2 pairs by nature; both sides are shuffled directly, so that adaptive execution can split a wide key. Records of one
+    key carry no list of keys, and their pairs compare none.
     """
-    own = F.struct(*(columns or records.columns))
-    a = _keyed(records, record_id, keys, [own.alias("l")]).select(F.col("id").alias("a"), F.col("all").alias("left_keys"), "key", "l")
-    b = _keyed(records, record_id, keys, [own.alias("r")]).select(F.col("id").alias("b"), F.col("all").alias("right_keys"), "key", "r")
-    return a.join(b, "key").where((F.col("a") < F.col("b")) & (F.col("key") == F.array_min(F.array_intersect("left_keys", "right_keys")))).select("a", "b", "l", "r")
+    own, more = F.struct(*(columns or records.columns)), F.when(F.size("all") > 1, F.col("all"))
+    a = _keyed(records, record_id, keys, [own.alias("l")]).select(F.col("id").alias("a"), more.alias("left_keys"), "key", "l")
+    b = _keyed(records, record_id, keys, [own.alias("r")]).select(F.col("id").alias("b"), more.alias("right_keys"), "key", "r")
+    least = F.col("left_keys").isNull() | F.col("right_keys").isNull() | (F.col("key") == F.array_min(F.array_intersect("left_keys", "right_keys")))
+    return a.join(b, "key").where((F.col("a") < F.col("b")) & least).select("a", "b", "l", "r")
 
 
 def pairs(records: DataFrame, record_id: str, keys: Column) -> DataFrame:

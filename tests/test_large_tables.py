@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from carelake.operators import fhir
+from carelake.operators import fhir, matching
 from carelake.plans import catalog
 
 DATA = "/root/testdata/sf0.001"
@@ -32,3 +32,10 @@ def test_a_resource_is_read_once(spark):
 @pytest.mark.parametrize("name, most", [("fhir_medication_request", 2), ("fhir_resources_valid", 23), ("fhir_bundle_by_event", 1)])
 def test_resources_are_read_once_by_queries(spark, name, most):
     assert readings(catalog.QUERIES[name](spark, DATA)) <= most
+
+
+def test_records_of_one_key_compare_no_lists(spark):
+    r = spark.range(6).select("id", F.array(F.lit("k")).alias("keys"))
+    met = matching.pairs(r, "id", F.col("keys"))
+    assert "left_keys" in plan(met) and "isnull(left_keys" in plan(met)
+    assert met.count() == 15
