@@ -51,11 +51,43 @@ def _same(name: str) -> Column:
     return _present(name) & (F.col(f"l.{name}") == F.col(f"r.{name}"))
 
 
+RULES = [("SSN_EXACT", ["ssn"]), ("MBI_EXACT", ["mbi"]), ("MRN_SYSTEM", ["mrn", "system"]), ("NAME_DOB_GENDER", ["family", "given", "birth_date", "gender"]), ("NAME_DOB_ZIP", ["family", "given", "birth_date", "zip"])]
+
+
+def rule_keys(columns: list[str], within: str) -> dict[str, Column]:
+    """For each rule whose fields are among the columns its key: the texts of its fields and of the column within which records meet; null where one is missing."""
+    keys = {}
+    for name, fields in RULES:
+        if set(fields) <= set(columns):
+            given = F.col(within).isNotNull()
+            for f in fields:
+                given = given & F.col(f).isNotNull() & (F.col(f).cast("string") != "")
+            keys[name] = F.when(given, F.to_json(F.array(*[F.col(f).cast("string") for f in (within, *fields)])))
+    return keys
+
+
+def ruled_pairs(records: DataFrame, record_id: str, within: str) -> DataFrame:
+    """(a, b, rule) of all pairs with one value of the column within for which a deterministic rule holds, each under the first one.
+
+    Records meet by a join for each rule on its own fields, not by the column alone, which would compare all of its records with each other.
+    """
+    keys = rule_keys(records.columns, within)
+    keyed = records.select(F.col(record_id).alias("id"), *[v.alias(k) for k, v in keys.items()])
+    out = keyed.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit("").alias("rule")).where("false")
+    for n, name in enumerate(keys):
+        own = list(keys)[: n + 1]
+        l, r = (keyed.where(F.col(name).isNotNull()).select(F.col("id").alias(end), *[F.col(k).alias(f"{end}_{k}") for k in own]) for end in "ab")
+        met = l.join(r, F.col(f"a_{name}") == F.col(f"b_{name}")).where("a < b")
+        for k in own[:-1]:  # what an earlier rule links is that rule's
+            met = met.where(F.coalesce(F.col(f"a_{k}") != F.col(f"b_{k}"), F.lit(True)))
+        out = out.unionByName(met.select("a", "b", F.lit(name).alias("rule")))
+    return out
+
+
 def rule(columns: list[str]) -> Column:
     """Name of the first deterministic rule that holds, by priority: national number, beneficiary number, record number of one system, then demographics."""
-    tests = [("SSN_EXACT", ["ssn"]), ("MBI_EXACT", ["mbi"]), ("MRN_SYSTEM", ["mrn", "system"]), ("NAME_DOB_GENDER", ["family", "given", "birth_date", "gender"]), ("NAME_DOB_ZIP", ["family", "given", "birth_date", "zip"])]
     out = F
-    for name, fields in tests:
+    for name, fields in RULES:
         if set(fields) <= set(columns):
             held = F.lit(True)
             for f in fields:

@@ -166,8 +166,7 @@ def deterministic_match(spark, sf_dir):
     """All five rules, over people of one birth year."""
     k = F.col("id")
     p = people(spark, sf_dir).withColumns({"birth_date": F.col("birth_year"), "ssn": F.when(k % 6 == 0, F.concat(F.lit("N"), F.floor(k / 30).cast("string"))), "mrn": F.concat(F.lit("R"), (k % 500).cast("string")), "system": F.when(k % 4 == 0, "A").otherwise("B")})
-    met = matching.sided_pairs(p, "id", F.array(F.col("birth_year").cast("string")), [c for c in p.columns if c not in ("id", "birth_year")])
-    return met.select("a", "b", matching.rule(p.columns).alias("rule")).where("rule IS NOT NULL")
+    return matching.ruled_pairs(p, "id", "birth_year")
 
 
 @query(f"WITH {PAIRS} SELECT a, b, round({SCORE}, 6) AS score FROM pairs")

@@ -36,6 +36,21 @@ def test_resources_are_read_once_by_queries(spark, name, most):
 
 def test_records_of_one_key_compare_no_lists(spark):
     r = spark.range(6).select("id", F.array(F.lit("k")).alias("keys"))
-    met = matching.pairs(r, "id", F.col("keys"))
-    assert "left_keys" in plan(met) and "isnull(left_keys" in plan(met)
-    assert met.count() == 15
+    met = matching.pairs(r.unionByName(spark.createDataFrame([(6, ["k", "l"]), (7, ["l", "k"])], "id long, keys array<string>")), "id", F.col("keys"))
+    assert "(size(all" in plan(met)
+    assert met.count() == 28 == met.distinct().count()
+
+
+def test_ruled_pairs_meet_by_their_fields(spark):
+    rows = [(k, "S" if k < 3 else None, "" if k == 5 else "M", f"R{k % 2}", "A", "F", "G", 1, "m" if k % 3 else None, "Z", None if k == 7 else 1950 + k // 8) for k in range(16)]
+    names = ["ssn", "mbi", "mrn", "system", "family", "given", "birth_date", "gender", "zip", "year"]
+    r = spark.createDataFrame(rows, "id long, ssn string, mbi string, mrn string, system string, family string, given string, birth_date long, gender string, zip string, year long")
+    every = r.select(F.col("id").alias("a"), F.struct(*names).alias("l")).crossJoin(r.select(F.col("id").alias("b"), F.struct(*names).alias("r"))).where("a < b AND l.year = r.year")
+    want = every.select("a", "b", matching.rule(names).alias("rule")).where("rule IS NOT NULL")
+    got = matching.ruled_pairs(r, "id", "year")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() > 20
+    # strangers of one year don't meet
+    apart = spark.range(100).select("id", F.concat(F.lit("S"), "id").alias("ssn"), F.lit(1950).alias("year"))
+    met = matching.ruled_pairs(apart, "id", "year")
+    assert met.count() == 0 and "a_SSN_EXACT" in plan(met)
+    assert "a_NAME_DOB_ZIP" in plan(catalog.QUERIES["deterministic_match"](spark, DATA))
