@@ -96,16 +96,40 @@ def rule(columns: list[str]) -> Column:
     return out.otherwise(F.lit(None).cast("string")) if out is not F else F.lit(None).cast("string")
 
 
-def score(columns: list[str], weights: dict[str, float] | None = None) -> Column:
-    """Weighted mean of the fields' similarities over the fields that both records have; 0 where they share none."""
+#: Different names of a field up to which all pairs of them are compared beforehand; with more, names are compared pair by pair of records.
+FEW_NAMES = 512
+NAMES = ("family", "given")
+
+
+def _name_similarity(a: Column, b: Column) -> Column:
+    return similarity.jaro_winkler(identifiers.person_name(a), identifiers.person_name(b))
+
+
+def name_similarities(met: DataFrame, records: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
+    """met (l, r) with the similarity of each name field of which records have few different values, for score; others are left to score itself."""
+    for name in NAMES:
+        if name not in records.columns or name not in (weights or WEIGHTS):
+            continue
+        own = records.select(F.col(name).cast("string").alias("x")).where("x <> ''").distinct()
+        few = [x.x for x in own.limit(FEW_NAMES + 1).collect()]
+        if len(few) > FEW_NAMES:
+            continue
+        own = met.sparkSession.createDataFrame([(x,) for x in few], f"{name}_l string")
+        table = own.crossJoin(own.withColumnRenamed(f"{name}_l", f"{name}_r")).withColumn(f"{name}_similarity", _name_similarity(F.col(f"{name}_l"), F.col(f"{name}_r")))
+        same = (F.col(f"l.{name}").cast("string") == F.col(f"{name}_l")) & (F.col(f"r.{name}").cast("string") == F.col(f"{name}_r"))
+        met = met.join(F.broadcast(table), same, "left").drop(f"{name}_l", f"{name}_r")
+    return met
+
+
+def score(columns: list[str], weights: dict[str, float] | None = None, known: list[str] | None = None) -> Column:
+    """Weighted mean of the fields' similarities over the fields that both records have; 0 where they share none. known: columns of the pairs; names whose similarity is among them aren't compared again."""
     weights, total, weight = weights or WEIGHTS, F.lit(0.0), F.lit(0.0)
     for name, w in weights.items():
         if name not in columns:
             continue
         a, b = F.col(f"l.{name}").cast("string"), F.col(f"r.{name}").cast("string")
-        if name in ("family", "given"):
-            x, y = identifiers.person_name(a), identifiers.person_name(b)
-            value = similarity.jaro_winkler(x, y)
+        if name in NAMES:
+            value = F.col(f"{name}_similarity") if f"{name}_similarity" in (known or []) else _name_similarity(a, b)
         elif name == "phone":
             value = identifiers.phone_score(a, b)
         elif name == "ssn":
@@ -125,7 +149,8 @@ def classify(rule_name: Column, value: Column) -> Column:
 def duplicates(records: DataFrame, record_id: str, keys: Column, weights: dict[str, float] | None = None) -> DataFrame:
     """(a, b, rule, score, class) of all pairs that share a key and are at least possible."""
     columns = records.columns
-    scored = sided_pairs(records, record_id, keys).select("a", "b", rule(columns).alias("rule"), score(columns, weights).alias("score"))
+    met = name_similarities(sided_pairs(records, record_id, keys), records, weights)
+    scored = met.select("a", "b", rule(columns).alias("rule"), score(columns, weights, met.columns).alias("score"))
     return scored.withColumn("class", classify(F.col("rule"), F.col("score"))).where("class <> 'none'")
 
 

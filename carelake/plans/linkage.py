@@ -150,6 +150,12 @@ def _pairs(spark, sf_dir) -> DataFrame:
     return matching.sided_pairs(p, "id", F.array(F.concat_ws(":", "birth_year", "zip")), [c for c in p.columns if c != "id"])
 
 
+def _scored(spark, sf_dir) -> DataFrame:
+    """Pairs with their score and whether their beneficiary numbers agree."""
+    met = matching.name_similarities(_pairs(spark, sf_dir), people(spark, sf_dir))
+    return met.select("a", "b", matching.rule(["mbi"]).alias("rule"), F.round(matching.score(["family", "given", "mbi", "zip", "gender"], known=met.columns), 6).alias("score"))
+
+
 @query(f"WITH {PAIRS} SELECT a, b FROM pairs")
 def blocking_pairs(spark, sf_dir):
     return _pairs(spark, sf_dir).select("a", "b")
@@ -171,20 +177,20 @@ def deterministic_match(spark, sf_dir):
 
 @query(f"WITH {PAIRS} SELECT a, b, round({SCORE}, 6) AS score FROM pairs")
 def probabilistic_score(spark, sf_dir):
-    return _pairs(spark, sf_dir).select("a", "b", F.round(matching.score(["family", "given", "mbi", "zip", "gender"]), 6).alias("score"))
+    return _scored(spark, sf_dir).select("a", "b", "score")
 
 
 @query(f"""WITH {PAIRS}, s AS (SELECT round({SCORE}, 6) AS score, lm = rm AS sure FROM pairs)
 SELECT CASE WHEN coalesce(sure, false) OR score >= 0.95 THEN 'confirmed' WHEN score >= 0.70 THEN 'review' WHEN score >= 0.50 THEN 'possible' ELSE 'none' END AS class, count(*) AS pairs FROM s GROUP BY 1""")
 def match_classification(spark, sf_dir):
-    s = _pairs(spark, sf_dir).select(matching.rule(["mbi"]).alias("rule"), F.round(matching.score(["family", "given", "mbi", "zip", "gender"]), 6).alias("score"))
+    s = _scored(spark, sf_dir)
     return s.groupBy(matching.classify(F.col("rule"), F.col("score")).alias("class")).agg(F.count("*").alias("pairs"))
 
 
 @query(f"""WITH {PAIRS}, s AS (SELECT a, b, round({SCORE}, 6) AS score, CASE WHEN lm = rm THEN 'MBI_EXACT' END AS rule FROM pairs)
 SELECT a, b, rule, score FROM s WHERE rule IS NOT NULL OR score >= 0.95""")
 def dedupe_customers(spark, sf_dir):
-    s = _pairs(spark, sf_dir).select("a", "b", matching.rule(["mbi"]).alias("rule"), F.round(matching.score(["family", "given", "mbi", "zip", "gender"]), 6).alias("score"))
+    s = _scored(spark, sf_dir)
     return s.where(matching.classify(F.col("rule"), F.col("score")) == "confirmed")
 
 

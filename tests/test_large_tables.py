@@ -54,3 +54,22 @@ def test_ruled_pairs_meet_by_their_fields(spark):
     met = matching.ruled_pairs(apart, "id", "year")
     assert met.count() == 0 and "a_SSN_EXACT" in plan(met)
     assert "a_NAME_DOB_ZIP" in plan(catalog.QUERIES["deterministic_match"](spark, DATA))
+
+
+@pytest.mark.parametrize("few", [512, 2])
+def test_names_are_compared_once(spark, monkeypatch, few):
+    monkeypatch.setattr(matching, "FEW_NAMES", few)
+    names = ["Smith", "SMYTH ", "", None, "Jones"]
+    r = spark.createDataFrame([(k, names[k % 5], names[k % 3], None if k % 4 else "Z") for k in range(20)], "id long, family string, given string, zip string")
+    met = matching.sided_pairs(r, "id", F.array(F.lit("k")))
+    known = matching.name_similarities(met, r)
+    want = {(x.a, x.b): x.s for x in met.select("a", "b", matching.score(r.columns).alias("s")).collect()}
+    got = {(x.a, x.b): x.s for x in known.select("a", "b", matching.score(r.columns, known=known.columns).alias("s")).collect()}
+    assert len(got) == 190 and got == pytest.approx(want)
+    assert ("family_similarity" in known.columns) == (few > 2)
+
+
+@pytest.mark.parametrize("name", ["probabilistic_score", "match_classification", "dedupe_customers"])
+def test_queries_compare_names_before_their_records_meet(spark, name):
+    text = plan(catalog.QUERIES[name](spark, DATA))
+    assert text.count("ArrowEvalPython") == 2 and "strategy=broadcast" in text
