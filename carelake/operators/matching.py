@@ -142,8 +142,13 @@ def score(columns: list[str], weights: dict[str, float] | None = None, known: li
     return F.when(weight > 0, total / weight).otherwise(0.0)
 
 
+def confirmed(rule_name: Column, value: Column) -> Column:
+    """Whether classify says confirmed; as a filter it has the score once and not for each class."""
+    return rule_name.isNotNull() | (value >= CONFIRMED)
+
+
 def classify(rule_name: Column, value: Column) -> Column:
-    return F.when(rule_name.isNotNull() | (value >= CONFIRMED), "confirmed").when(value >= REVIEW, "review").when(value >= POSSIBLE, "possible").otherwise("none")
+    return F.when(confirmed(rule_name, value), "confirmed").when(value >= REVIEW, "review").when(value >= POSSIBLE, "possible").otherwise("none")
 
 
 def duplicates(records: DataFrame, record_id: str, keys: Column, weights: dict[str, float] | None = None) -> DataFrame:

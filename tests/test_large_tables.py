@@ -73,3 +73,8 @@ def test_names_are_compared_once(spark, monkeypatch, few):
 def test_queries_compare_names_before_their_records_meet(spark, name):
     text = plan(catalog.QUERIES[name](spark, DATA))
     assert text.count("ArrowEvalPython") == 2 and "strategy=broadcast" in text
+
+
+def test_duplicates_have_their_score_once(spark):
+    text = plan(catalog.QUERIES["dedupe_customers"](spark, DATA))
+    assert text.count("family_similarity") == plan(catalog.QUERIES["probabilistic_score"](spark, DATA)).count("family_similarity")
