@@ -1,5 +1,6 @@
-"""Near duplicates by the similarity of shingle sets, as the near-duplicate stage of the pipeline: sketches find candidates, exact sets decide.
+"""Near duplicates by the similarity of shingle sets, as the near-duplicate stage of the pipeline: SimHash fingerprints and sketches find candidates, exact sets decide.
 
+Fingerprints of the shingles link by op10's vantage-point tree within two bits. What is similar and farther apart is found by sketches:
 Texts with equal sets are one vertex. A vertex has minima of BANDS * ROWS hash functions; vertices that agree in all rows of a band share a
 bucket. Within a bucket, vertices whose minima agree in less than LIKELY of all functions can't be similar (at 0.8 that is 4.7 standard
 deviations off), the others are linked by a spanning forest. The components of these unverified links are blocks, and all that is similar is in one block.
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import join_small, limit_batches, map_texts, sorted_groups, staged
-from .simhash import components
+from .simhash import components, fingerprint, print_links
 
 WORDS = 5
 #: The least similarity as a fraction, 4 / 5.
@@ -135,8 +136,17 @@ def _hashes(data: bytes) -> np.ndarray:
     return np.frombuffer(data, np.uint64)
 
 
+def fingerprint_links(vertices: DataFrame) -> DataFrame:
+    """(a, b): vertices (fp, print) whose SimHash fingerprints are equal or reach each other by links of the vantage-point tree's shards, each to the least of them."""
+    prints = staged(vertices.select("print").distinct(), "prints")
+    linked = components(print_links(prints.select(F.col("print").alias("fp")))).withColumnRenamed("vertex", "print")
+    rooted = staged(vertices.select("fp", "print").join(linked, "print", "left").select("fp", F.coalesce("root", "print").alias("own")), "printed")
+    least = rooted.groupBy("own").agg(F.min("fp").alias("b"), F.count("*").alias("members")).where("members > 1").select("own", "b")
+    return rooted.join(least, "own").where("fp <> b").select(F.col("fp").alias("a"), "b")
+
+
 def candidate_blocks(vertices: DataFrame) -> DataFrame:
-    """(vertex, root): blocks of the vertices (fp, signature, bands); those that are alone don't appear."""
+    """(vertex, root): blocks of the vertices (fp, print, signature, bands), by links of their fingerprints and by buckets of their minima; those that are alone don't appear."""
     keyed = vertices.select("fp", F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("fp").alias("lead"), F.count("*").alias("members")).where("members > 1")
     members = staged(keyed.join(shared, "key"), "buckets")
@@ -152,7 +162,7 @@ def candidate_blocks(vertices: DataFrame) -> DataFrame:
         yield from zip(prints[moved].tolist(), prints[label[moved]].tolist(), strict=True)
 
     narrow = sorted_groups(rows.select("bucket", "fp", "signature"), "bucket", forest, "a long, b long")
-    return staged(components(wide.unionByName(narrow).distinct()), "blocks")
+    return staged(components(fingerprint_links(vertices).unionByName(wide).unionByName(narrow).distinct()), "blocks")
 
 
 def small_heads(sets: DataFrame) -> DataFrame:
@@ -256,8 +266,9 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
         key += "_"
     numbered = staged(docs.withColumn(key, F.monotonically_increasing_id()), "numbered")
     ident = F.struct(F.col(doc_id).isNull().alias("z"), F.col(doc_id).alias("i"), F.col(key).alias("k")).alias("id")
-    rows = staged(map_texts(numbered.select(ident, F.col(text).alias("body")), ["id"], "body", lambda: lambda texts: [sketch(x, words) for x in texts], "fp long, hashes long, signature binary, bands array<long>"), "sketches")
+    rows = staged(map_texts(numbered.select(ident, F.col(text).alias("body")), ["id"], "body", lambda: lambda texts: [(*sketch(x, words), _signed(fingerprint(x, words))) for x in texts], "fp long, hashes long, signature binary, bands array<long>, print long"), "sketches")
     facts = [F.any_value(c).alias(c) for c in ("hashes", "signature", "bands")]  # equal sets have equal sketches
+    facts.append(F.min("print").alias("print"))  # fingerprints count repeats; copies of a set need one of theirs
     vertices = staged(rows.groupBy("fp").agg(F.min("id").alias("least"), *facts), "vertices")
     blocks = candidate_blocks(vertices)
     chosen = staged(vertices.join(blocks, F.col("fp") == F.col("vertex")).select(F.col("least.k").alias(key), "fp", "root", "hashes"), "chosen")

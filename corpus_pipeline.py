@@ -22,8 +22,8 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of similarity 0.8 or more over five-word shingles stays, the one with the least id.
 
-    Fingerprints of 64 bits can't find such pairs (their bits differ in about ten places, and no tree prunes at that radius), so this stage has
-    candidates from minima of shingle hashes and decides them by the sets themselves; op10_simhash keeps the two bits of its contract.
+    SimHash fingerprints that the vantage-point tree links within two bits are candidates. Most such pairs are farther apart (about ten bits, and no
+    tree prunes at that radius), so minima of shingle hashes bring more candidates. The sets themselves decide all of them.
     """
     return shingle_sets.keep_one(docs)
 
