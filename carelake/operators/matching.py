@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import identifiers, similarity
@@ -105,6 +105,11 @@ def _name_similarity(a: Column, b: Column) -> Column:
     return similarity.jaro_winkler(identifiers.person_name(a), identifiers.person_name(b))
 
 
+def _listed(spark: SparkSession, texts: list[str], name: str, tasks: int = 1) -> DataFrame:
+    """A row for each text, made without Python workers."""
+    return spark.range(0, len(texts), 1, tasks).select(F.get(F.array(*[F.lit(x) for x in texts]).cast("array<string>"), F.col("id").cast("int")).alias(name))
+
+
 def name_similarities(met: DataFrame, records: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """met (l, r) with the similarity of each name field of which records have few different values, for score; others are left to score itself."""
     for name in NAMES:
@@ -114,8 +119,8 @@ def name_similarities(met: DataFrame, records: DataFrame, weights: dict[str, flo
         few = [x.x for x in own.limit(FEW_NAMES + 1).collect()]
         if len(few) > FEW_NAMES:
             continue
-        own = met.sparkSession.createDataFrame([(x,) for x in few], f"{name}_l string")
-        table = own.crossJoin(own.withColumnRenamed(f"{name}_l", f"{name}_r")).withColumn(f"{name}_similarity", _name_similarity(F.col(f"{name}_l"), F.col(f"{name}_r")))
+        l, r = _listed(met.sparkSession, few, f"{name}_l", 1 + len(few) // 64), _listed(met.sparkSession, few, f"{name}_r")
+        table = l.crossJoin(r).withColumn(f"{name}_similarity", _name_similarity(F.col(f"{name}_l"), F.col(f"{name}_r")))
         same = (F.col(f"l.{name}").cast("string") == F.col(f"{name}_l")) & (F.col(f"r.{name}").cast("string") == F.col(f"{name}_r"))
         met = met.join(F.broadcast(table), same, "left").drop(f"{name}_l", f"{name}_r")
     return met
@@ -159,6 +164,51 @@ def duplicates(records: DataFrame, record_id: str, keys: Column, weights: dict[s
     return scored.withColumn("class", classify(F.col("rule"), F.col("score"))).where("class <> 'none'")
 
 
+#: Fields of which a rule or score may ask more than whether both records have the same.
+VALUED = (*NAMES, "phone", "ssn")
+
+
+def alike_pairs(records: DataFrame, record_id: str, within: list[str], fields: list[str]) -> DataFrame:
+    """(l, r, pairs): of the pairs of records with the same values of the columns within, how many have such fields, for rule and score.
+
+    The sides have the values of VALUED fields; of others only whether they are given and the same. Pairs are counted and not made: for each set of
+    fields, those that agree in these, in others or not, are sums of products of how many records are alike. Sums of alternating sign then give those
+    that agree in just these; pairs of one id are taken off. That needs a row for each kind of record and set (2 ** n for n fields that aren't VALUED
+    or within), and one for each two kinds of sides that agree in a set and its values, which are fewer than pairs of records and don't grow with copies.
+    Which record comes first is lost. No rule or score depends on it: Jaro too passes over the same characters from either side.
+    """
+    free = [f for f in fields if f not in (*VALUED, *within)]
+    bits = {f: 1 << k for k, f in enumerate([*free, *[f for f in fields if f in within and f not in VALUED]])}
+    shared, sets = sum(b for f, b in bits.items() if f in within), F.array(*[F.lit(k) for k in range(1 << len(free))])
+    texts = {f: F.when(F.col(f).cast("string") != "", F.col(f).cast("string")) for f in fields}
+    mask = sum((F.when(texts[f].isNotNull(), b).otherwise(0) for f, b in bits.items()), F.lit(0))
+
+    def subsets(of: str) -> Column:
+        return F.explode(F.filter(sets, lambda s: s.bitwiseAND(F.col(of)) == s))
+
+    places, values = [f"within{k}" for k in range(len(within))], [f"free{k}" for k in range(len(free))]
+    own = records.select(
+        F.col(record_id).alias("id"), F.lit("").alias("copy"), *[F.col(w).cast("string").alias(p) for w, p in zip(within, places, strict=True)],
+        F.struct(*[texts[f].alias(f) for f in fields if f in VALUED], mask.alias("mask")).alias("side"), *[texts[f].alias(v) for f, v in zip(free, values, strict=True)],
+    ).dropna(subset=["id", *places])
+    twice = own.groupBy("id").count().where("count > 1").select("id")
+    if not twice.isEmpty():  # their pairs are counted once more, to be taken off
+        own = own.unionByName(own.join(twice, "id").withColumn("copy", F.concat(F.lit("of "), F.col("id").cast("string"))))
+    # alike records are one row, dealt over all tasks, before there is one for each set
+    kinds = own.groupBy("copy", *places, "side", *values).agg(F.count("*").alias("n")).withColumn("agreed", subsets("side.mask"))
+    keys = ["copy", *places, "agreed", *values]
+    kinds = kinds.withColumns({v: F.when(F.col("agreed").bitwiseAND(bits[f]) != 0, F.col(v)).otherwise("") for f, v in zip(free, values, strict=True)}).groupBy(*keys, "side").agg(F.sum("n").alias("n"))
+    l, r = (kinds.select(*keys, F.col("side").alias(end), F.col("n").alias(f"{end}_n")) for end in "lr")
+    agreed = l.join(r, keys).where("l <= r").groupBy("agreed", "l", "r").agg(F.sum(F.expr("if(copy = '', 1, -1) * if(l = r, l_n * (l_n - 1) div 2, l_n * r_n)")).alias("pairs"))
+    just = agreed.withColumn("same", subsets("agreed")).groupBy("same", "l", "r").agg(F.sum(F.expr("if(bit_count(agreed ^ same) % 2 = 0, pairs, -pairs)")).alias("pairs")).where("pairs > 0")
+
+    def side(end: str, same: Column) -> Column:
+        text = {f: F.when(F.col(f"{end}.mask").bitwiseAND(b) != 0, F.when(same.bitwiseAND(b) != 0, "same").otherwise("other")) for f, b in bits.items()}
+        return F.struct(*[text.get(f, F.col(f"{end}.{f}")).alias(f) for f in fields]).alias(end)
+
+    return just.select(side("l", F.lit(-1)), side("r", F.col("same").bitwiseOR(F.lit(shared))), "pairs")
+
+
 def candidates(records: DataFrame, targets: DataFrame, record_id: str, keys: Column, least: float, n: int) -> DataFrame:
     """The n best records for each target by score, from those that share a key; targets have the records' columns."""
     t = targets.select(F.col(record_id).alias("a"), F.struct(*records.columns).alias("l"), F.explode(keys).alias("key"))

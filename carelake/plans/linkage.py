@@ -150,10 +150,17 @@ def _pairs(spark, sf_dir) -> DataFrame:
     return matching.sided_pairs(p, "id", F.array(F.concat_ws(":", "birth_year", "zip")), [c for c in p.columns if c != "id"])
 
 
-def _scored(spark, sf_dir) -> DataFrame:
+FIELDS = ["family", "given", "mbi", "zip", "gender"]
+
+
+def _rated(spark, sf_dir, met: DataFrame, kept: list[str]) -> DataFrame:
     """Pairs with their score and whether their beneficiary numbers agree."""
-    met = matching.name_similarities(_pairs(spark, sf_dir), people(spark, sf_dir))
-    return met.select("a", "b", matching.rule(["mbi"]).alias("rule"), F.round(matching.score(["family", "given", "mbi", "zip", "gender"], known=met.columns), 6).alias("score"))
+    met = matching.name_similarities(met, people(spark, sf_dir))
+    return met.select(*kept, matching.rule(["mbi"]).alias("rule"), F.round(matching.score(FIELDS, known=met.columns), 6).alias("score"))
+
+
+def _scored(spark, sf_dir) -> DataFrame:
+    return _rated(spark, sf_dir, _pairs(spark, sf_dir), ["a", "b"])
 
 
 @query(f"WITH {PAIRS} SELECT a, b FROM pairs")
@@ -183,8 +190,8 @@ def probabilistic_score(spark, sf_dir):
 @query(f"""WITH {PAIRS}, s AS (SELECT round({SCORE}, 6) AS score, lm = rm AS sure FROM pairs)
 SELECT CASE WHEN coalesce(sure, false) OR score >= 0.95 THEN 'confirmed' WHEN score >= 0.70 THEN 'review' WHEN score >= 0.50 THEN 'possible' ELSE 'none' END AS class, count(*) AS pairs FROM s GROUP BY 1""")
 def match_classification(spark, sf_dir):
-    s = _scored(spark, sf_dir)
-    return s.groupBy(matching.classify(F.col("rule"), F.col("score")).alias("class")).agg(F.count("*").alias("pairs"))
+    s = _rated(spark, sf_dir, matching.alike_pairs(people(spark, sf_dir), "id", ["birth_year", "zip"], FIELDS), ["pairs"])
+    return s.groupBy(matching.classify(F.col("rule"), F.col("score")).alias("class")).agg(F.sum("pairs").alias("pairs"))
 
 
 @query(f"""WITH {PAIRS}, s AS (SELECT a, b, round({SCORE}, 6) AS score, CASE WHEN lm = rm THEN 'MBI_EXACT' END AS rule FROM pairs)

@@ -1,8 +1,11 @@
 """Plans that larger tables need: what is read once, compiled, or met by keys, beside the rows that come out."""
 
+import itertools
+
 import pytest
 from pyspark.sql import functions as F
 
+from carelake.functions import similarity
 from carelake.operators import fhir, matching
 from carelake.plans import catalog
 
@@ -78,3 +81,45 @@ def test_queries_compare_names_before_their_records_meet(spark, name):
 def test_duplicates_have_their_score_once(spark):
     text = plan(catalog.QUERIES["dedupe_customers"](spark, DATA))
     assert text.count("family_similarity") == plan(catalog.QUERIES["probabilistic_score"](spark, DATA)).count("family_similarity")
+
+
+@pytest.mark.parametrize("few", [512, 2])
+def test_alike_pairs_are_those_made_one_by_one(spark, monkeypatch, few):
+    monkeypatch.setattr(matching, "FEW_NAMES", few)
+    family, given = ["Smith", "SMYTH ", "", None, "Jones", "Martha", "Marhta"], ["Ann", None, "Anne"]
+    rows = [
+        (None if k == 9 else k - k % 37 // 36, k % 3 if k % 11 else None, family[k * k % 7], given[k % 3], ["m", "n", "", None][k // 3 % 4], ["x", "y", None][k % 5 % 3], "Z" if k % 4 else "", "219099999" if k % 6 == 0 else f"21909{k % 4}999", "555-010-1234" if k % 8 else "455-010-1234")
+        for k in range(150)
+    ] + [(20, 2, "Jones", "Ann", "m", "x", "Z", None, None)] * 3
+    fields = ["family", "given", "mbi", "gender", "zip", "ssn", "phone"]
+    r = spark.createDataFrame(rows, "id long, year long, family string, given string, mbi string, gender string, zip string, ssn string, phone string")
+
+    def told(met, pairs):
+        met = matching.name_similarities(met, r)
+        rated = met.select(matching.rule(fields).alias("rule"), F.round(matching.score(fields, known=met.columns), 9).alias("score"), pairs.alias("pairs"))
+        return {(x.rule, x.score): x.pairs for x in rated.groupBy("rule", "score").agg(F.sum("pairs").alias("pairs")).collect()}
+
+    every = r.select(F.col("id").alias("a"), "year", "zip", F.struct(*fields).alias("l")).join(r.select(F.col("id").alias("b"), "year", "zip", F.struct(*fields).alias("r")), ["year", "zip"]).where("a < b")
+    want = told(every, F.lit(1))
+    assert len(want) > 50 and sum(want.values()) > 1000
+    assert told(matching.alike_pairs(r, "id", ["year", "zip"], fields), F.col("pairs")) == want
+    # fields of which none is what records meet within
+    want = told(every.where("zip = 'Z'"), F.lit(1))
+    assert told(matching.alike_pairs(r.where("zip = 'Z'"), "id", ["year"], fields), F.col("pairs")) == want
+
+
+def test_alike_pairs_of_one_block_are_not_made(spark):
+    n = 2_000_000
+    r = spark.range(n).select("id", F.lit(1950).alias("year"), F.lit("SMITH").alias("family"), F.when(F.col("id") % 2 == 0, "m").otherwise("n").alias("mbi"))
+    got = {(x.l.mbi == x.r.mbi): x.pairs for x in matching.alike_pairs(r, "id", ["year"], ["family", "mbi"]).collect()}
+    assert got == {True: n // 2 * (n // 2 - 1), False: (n // 2) ** 2}
+
+
+def test_match_classification_counts_alike_pairs(spark):
+    text = plan(catalog.QUERIES["match_classification"](spark, DATA))
+    assert "l_n" in text and "(a#" not in text
+
+
+def test_jaro_is_the_same_from_either_side():
+    texts = ["".join(p) for n in range(1, 7) for p in itertools.product("AB", repeat=n)] + ["ABCABDC", "CABDABC", "DCBAABCA", "JOHNSON", "JONES", "MARHTA", "MARTHA"]
+    assert all(similarity.jaro_of(a, b) == similarity.jaro_of(b, a) for a, b in itertools.combinations(texts, 2))
