@@ -98,6 +98,28 @@ def test_bpe_every_character(library):
     assert bpe.encode(vocab, text) == ids_of(library, text)
 
 
+def test_bpe_strings_of():
+    """As one by one, from slices of a column too."""
+    import pyarrow as pa
+
+    column = pa.array(["x", "", "é\n", "\x1f", "\u3042\U0001f600", "", "y"], pa.large_string())
+    for part in (column, column[1:6], column[5:6], column[:0], column.dictionary_encode().dictionary):
+        assert bpe.strings_of(part) == part.to_pylist()
+
+
+def test_bpe_encode_words(library):
+    """Words as they are in the text, of which the bytes become letters all at once; long ones that fail are told apart."""
+    words = ["the", "é", "ß\x7f", "naïveté", "ü" * 90, "日本", "x" * 200, "ciónosñco"]
+    flat, bounds, long = bpe.vocabulary(VOCABULARY).encode_words(words)
+    letters = bpe.byte_letters()
+    for k, w in enumerate(words):
+        got = long.get(k, flat[bounds[k] : bounds[k + 1]].tolist())
+        tokens = [library.id_to_token(t) for t in got]
+        assert "".join(tokens).removesuffix("</w>") == "".join(letters[b] for b in w.encode())
+        if w != "ß\x7f":  # two words to the library
+            assert got == ids_of(library, w)
+
+
 def test_bpe_query(odd, library):
     got = sorted((r.doc_id or -1, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.encode_digests(odd, VOCABULARY).collect())
     want = []
