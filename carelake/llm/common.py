@@ -34,6 +34,8 @@ def limit_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+#: The setting of how many bytes of listings of files a session keeps.
+LISTINGS = "spark.sql.hive.filesourcePartitionFileCacheSize"
 #: Paths of the tables staged by this process, in order.
 MADE: list[str] = []
 
@@ -44,7 +46,12 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_folder(spark)}/staged/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     MADE.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    kept = spark.conf.get(LISTINGS)
+    spark.conf.set(LISTINGS, "0")  # else the session keeps the list of its files as long as it lives
+    try:
+        return spark.read.schema(df.schema).parquet(path)
+    finally:
+        spark.conf.set(LISTINGS, kept)
 
 
 def discard(spark: SparkSession, paths: list[str]) -> None:
@@ -92,6 +99,13 @@ def give_back() -> None:
         return  # another C library, which has no such call
 
 
+def forget_ended(spark: SparkSession) -> None:
+    """The driver's garbage goes: Python's, and the JVM's with what Spark keeps of ended queries until it is collected; the heap shrinks to what is used."""
+    gc.collect()
+    give_back()
+    spark._jvm.System.gc()
+
+
 def gathered(batches: Iterator[pa.RecordBatch], size: int, most: int = 100 * BATCH_ROWS) -> Iterator[pa.RecordBatch]:
     """The batches put together until they have size bytes or most rows."""
     held: list[pa.RecordBatch] = []

@@ -6,7 +6,7 @@ bucket. Within a bucket, vertices whose minima agree in less than LIKELY of all
 deviations off), the others are linked by a spanning forest. The components of these unverified links are blocks, and all that is similar is in one block.
 
 A block whose sets are few enough goes to one task, which decides all of its pairs exactly. A larger one stays dealt over all tasks: in each
-round a bounded number of its sets are queries that all its sets are compared with, exactly. Components grow by what is found; only pairs of
+round a bounded number of its sets, twice as many as in the round before, are queries that all its sets are compared with, exactly. Components grow by what is found; only pairs of
 different components are still of interest, so a block is done when all sets that haven't been queries are in one component. Groups of copies of any
 size thus end after few rounds, and no task holds more than its batch and the queries.
 """
@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_small, limit_batches, map_texts, sorted_groups, staged
+from .common import forget_ended, join_small, limit_batches, map_texts, sorted_groups, staged
 from .simhash import components, fingerprint, print_links
 
 WORDS = 5
@@ -34,7 +34,7 @@ LIKELY = 0.65
 BUCKET = 256
 #: Hashes up to which a block goes to one task.
 BLOCK_HASHES = 1 << 16
-#: Queries of a round over all larger blocks, and their hashes, at most (one query at least).
+#: Queries of a round over all larger blocks, and their hashes, at most (one query at least); and the queries of a block in the first round.
 QUERIES, QUERY_HASHES, EACH = 4096, 1 << 22, 64
 STEP = 2048
 _DRAW = np.random.default_rng(42)
@@ -186,33 +186,38 @@ def query_links(members: DataFrame, queries: list[tuple[int, int, bytes]]) -> Da
         for q in sent.value:
             by.setdefault(q[0], []).append(q)
         tables: dict[int, Sets] = {}
-        told: set[tuple[int, int]] = set()
+        joined: dict[int, np.ndarray] = {}  # for each query the first of those that this task has joined it with
         for batch in batches:
             a, b = [], []
             for root, fp, data in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 mine = by[root]
                 if root not in tables:
                     tables[root] = Sets([_hashes(q[2]) for q in mine])
+                    joined[root] = np.arange(len(mine))
                 hit = np.nonzero(tables[root].near(_hashes(data)))[0]
                 if not len(hit):
                     continue
-                first = mine[hit[0]][1]
+                label = joined[root]
+                found = np.unique(label[hit])
+                first = mine[found[0]][1]
                 if first != fp:
                     a.append(fp)
                     b.append(first)
-                for k in hit[1:].tolist():
-                    pair = (mine[k][1], first)
-                    if pair not in told:
-                        told.add(pair)
-                        a.append(pair[0])
-                        b.append(first)
+                if len(found) > 1:
+                    a += [mine[k][1] for k in found[1:].tolist()]
+                    b += [first] * (len(found) - 1)
+                    label[np.isin(label, found)] = found[0]
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return members.select("root", "fp", "hashes").mapInArrow(compare, "a long, b long")
 
 
 def large_heads(sets: DataFrame, queries: int = QUERIES, each: int = EACH) -> DataFrame:
-    """(fp, head) of blocks (root, fp, hashes) of any size, by rounds of bounded queries that leave each block dealt over all tasks."""
+    """(fp, head) of blocks (root, fp, hashes) of any size, by rounds of bounded queries that leave each block dealt over all tasks.
+
+    A block has ``each`` queries in the first round and twice as many in each further one, so that one that many sets keep open takes few rounds:
+    the driver keeps something of each query and task that it has run. ``queries`` of all blocks is the most of a round.
+    """
     members = staged(sets.select("root", "fp", "hashes"), "large")
     state = staged(members.select("root", "fp", F.col("fp").alias("label"), F.lit(False).alias("asked")), "state")
     while True:
@@ -223,6 +228,7 @@ def large_heads(sets: DataFrame, queries: int = QUERIES, each: int = EACH) -> Da
         if not blocks:
             return state.select("fp", F.col("label").alias("head"))
         quota = max(1, min(each, queries // blocks))
+        each *= 2
         rank = F.row_number().over(Window.partitionBy("root").orderBy(F.xxhash64("fp"), "fp"))
         wanted = open_.join(active, "root").where("label <> main").withColumn("rank", rank).where(F.col("rank") <= quota).orderBy("rank", "root").limit(queries)
         chosen = staged(wanted.select("root", "fp"), "asked")
@@ -239,6 +245,7 @@ def large_heads(sets: DataFrame, queries: int = QUERIES, each: int = EACH) -> Da
         ends = [state.select(F.col("fp").alias(c), F.col("label").alias(f"label_{c}")) for c in "ab"]
         merged = links.distinct().join(ends[0], "a").join(ends[1], "b").where("label_a <> label_b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).distinct()
         step = components(merged).select(F.col("vertex").alias("label"), F.col("root").alias("to"))
+        forget_ended(members.sparkSession)
         done = asked.select("fp", F.lit(True).alias("now"))
         state = staged(
             state.join(step, "label", "left").join(F.broadcast(done), "fp", "left").select("root", "fp", F.coalesce("to", "label").alias("label"), (F.col("asked") | F.coalesce("now", F.lit(False))).alias("asked")), "state"
@@ -271,6 +278,7 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
     facts.append(F.min("print").alias("print"))  # fingerprints count repeats; copies of a set need one of theirs
     vertices = staged(rows.groupBy("fp").agg(F.min("id").alias("least"), *facts), "vertices")
     blocks = candidate_blocks(vertices)
+    forget_ended(docs.sparkSession)
     chosen = staged(vertices.join(blocks, F.col("fp") == F.col("vertex")).select(F.col("least.k").alias(key), "fp", "root", "hashes"), "chosen")
     bodies = join_small(numbered.select(key, F.col(text).alias("body")), chosen.select(key, "fp", "root"), key)
     sets = staged(map_texts(bodies, ["fp", "root"], "body", lambda: lambda texts: [(shingles(x, words).tobytes(),) for x in texts], "hashes binary"), "sets")

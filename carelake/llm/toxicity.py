@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, map_texts
+from .common import forget_ended, held_out, map_texts
 
 PRIOR, FLOOR, SIGNIFICANT, DRIFT, CLIP = 4.0, 0.3, 3.5, 0.4, 6.0
 #: Labelled rows that a lexicon is learned from, at most (those with the least hashes of their ids), and characters of such a row.
@@ -191,7 +191,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = FI
     chosen = known.groupBy("doc_id").agg((F.avg(label) >= 0.5).cast("double").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     texts = docs.select("doc_id", "text").where(F.coalesce(F.length("text"), F.lit(0)) <= FIT_CHARS).join(F.broadcast(chosen), "doc_id")
     sample = texts.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).select("label", F.coalesce("text", F.lit("")).alias("text")).limit(rows).toPandas()
-    return Lexicon(sample["text"], sample["label"])
+    lexicon = Lexicon(sample["text"], sample["label"])
+    del sample
+    forget_ended(docs.sparkSession)
+    return lexicon
 
 
 def score(docs: DataFrame, lexicon: Lexicon, keep: list[str], threshold: float = THRESHOLD) -> DataFrame:

@@ -177,3 +177,17 @@ def test_run_leaves_only_its_last_tables(spark, tmp_path):
     assert rows and [r.length for r in rows]
     made = [p.removeprefix("file://") for p in common.MADE[before:]]
     assert len(made) > 10 and sum(os.path.exists(p) for p in made) <= 4
+
+
+def test_large_block_takes_few_rounds(spark, monkeypatch):
+    """A block that many sets keep open: rounds double their queries, so that the driver runs few queries; 64 a round would take ten rounds."""
+    draw = np.random.default_rng(7)
+    sets = [np.unique(draw.integers(1 << 40, 1 << 50, 20)).astype(np.uint64) for _ in range(560)] + [np.arange(k // 2, 100 + k // 2, dtype=np.uint64) for k in range(60)]
+    rows = [(0, k, x.tobytes()) for k, x in enumerate(sets)]
+    asked, own = [], shingle_sets.query_links
+    monkeypatch.setattr(shingle_sets, "query_links", lambda members, queries: asked.append(len(queries)) or own(members, queries))
+    got = {r.fp: r.head for r in shingle_sets.large_heads(spark.createDataFrame(rows, "root long, fp long, hashes binary")).collect()}
+    assert len(asked) <= 4 and asked[0] == shingle_sets.EACH and max(asked) <= shingle_sets.QUERIES
+    assert [got[k] for k in range(560)] == list(range(560)) and len({got[k] for k in range(560, 620)}) == 1
+    joined = [tuple(r) for r in own(spark.createDataFrame(rows, "root long, fp long, hashes binary").coalesce(1), rows[560:]).collect()]
+    assert len(joined) <= 60 + 59 and set(shingle_sets.reach(lambda x, left: np.array([(x + 560, k + 560) in joined or (k + 560, x + 560) in joined for k in left], bool), 60)) == {0}
