@@ -12,11 +12,57 @@ from pyspark.sql import functions as F
 from ..functions import similarity
 
 
+#: Concepts of a code up to which its rows carry the list of them; pairs of which both codes have several and one has more are made distinct by a shuffle.
+LISTED = 64
+#: Codes of a concept on one side up to which they meet the other side's in one group of the join; more are dealt into pieces of about so many.
+WIDE = 8192
+
+
+def _concepts_of(rows: DataFrame, code: str, entry: Column, side: str) -> DataFrame:
+    """rows (one for each code and concept) with the number of the code's concepts, and with its entries in order if there are 2 to LISTED."""
+    own = Window.partitionBy(code)
+    counted = rows.withColumn(f"{side}_n", F.count("*").over(own))
+    several = F.collect_list(F.when(F.col(f"{side}_n").between(2, LISTED), entry)).over(own)
+    return counted.withColumn(f"{side}_list", F.when(F.col(f"{side}_n").between(2, LISTED), F.sort_array(several)))
+
+
+def _dealt(start: DataFrame, ends: DataFrame, keyed: list[DataFrame]) -> list[DataFrame]:
+    """keyed (starts and ends with more columns) with the pieces in which they meet, dealt over the session's number of shuffle partitions.
+
+    A code of a wide concept is in one piece of its side's, once for each of the other's. The number is given, as adaptive execution would put rows
+    into few tasks by their size, which doesn't tell how many pairs they make.
+    """
+    wide = [x.groupBy("cui").agg(F.ceil(F.count("*") / WIDE).alias(name)).where(F.col(name) > 1) for x, name in ((start, "start_pieces"), (ends, "end_pieces"))]
+    tasks, out = int(start.sparkSession.conf.get("spark.sql.shuffle.partitions")), []
+    for rows, code, own, other in zip(keyed, ("code", "target_code"), ("start", "end"), ("end", "start"), strict=True):
+        for w in wide:
+            rows = rows.join(F.broadcast(w), "cui", "left")
+        piece = F.pmod(F.xxhash64(code), F.coalesce(f"{own}_pieces", F.lit(1))).alias(f"{own}_piece")
+        met = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(f"{other}_pieces", F.lit(1)) - 1)).alias(f"{other}_piece")
+        out.append(rows.select("*", piece, met).drop("start_pieces", "end_pieces").repartition(tasks, "cui", "start_piece", "end_piece"))
+    return out
+
+
 def crosswalk(concepts: DataFrame, code: DataFrame, from_source: str, to_source: str) -> DataFrame:
-    """(code, target_code, target_name) for each asked code: same concept, preferred names, each target code once, best name first."""
-    start = concepts.where(F.col("source") == from_source).select("code", "cui").distinct().join(code.select("code").distinct(), "code")
-    ends = concepts.where((F.col("source") == to_source) & (F.col("is_preferred") == "Y")).select("cui", F.col("code").alias("target_code"), F.col("name").alias("target_name"), "rank")
-    return start.join(ends, "cui").groupBy("code", "target_code").agg(F.min_by("target_name", F.struct("rank", "target_name")).alias("target_name"))
+    """(code, target_code, target_name) for each asked code: same concept, preferred names, each target code once, best name first.
+
+    The pairs grow with the square of a concept's codes, so they are neither shuffled nor sorted: a pair that shares several concepts is made under
+    the one with the best name only, and a code of one concept makes each of its pairs once. A concept of many codes is dealt into pieces, whose pairs are
+    made by different tasks. A name comes before none, then the least rank, a missing one last.
+    """
+    known = concepts.where(F.col("cui").isNotNull())
+    start = known.where(F.col("source") == from_source).select("code", "cui").distinct().join(code.select("code").distinct(), "code")
+    best = F.min(F.struct(F.col("name").isNull(), F.col("rank").isNull(), "rank", F.col("name").alias("target_name"))).alias("best")
+    ends = known.where((F.col("source") == to_source) & (F.col("is_preferred") == "Y")).groupBy("cui", F.col("code").alias("target_code")).agg(best)
+    keyed_start = _concepts_of(start, "code", F.struct("cui"), "start").withColumn("start_list", F.col("start_list.cui"))
+    keyed_ends = _concepts_of(ends, "target_code", F.struct("best", "cui"), "end").withColumn("end_list", F.col("end_list.cui"))
+    start, ends = _dealt(start, ends, [keyed_start, keyed_ends])
+    met = ["cui", "start_piece", "end_piece"]
+    several, wide = (F.col("start_n") > 1) & (F.col("end_n") > 1), (F.col("start_n") > LISTED) | (F.col("end_n") > LISTED)
+    first = F.get(F.array_intersect("end_list", "start_list"), F.lit(0)) == F.col("cui")  # in the order of end_list: best name first
+    once = start.hint("merge").join(ends.withColumn("target_name", F.col("best.target_name")), met).where(~several | (~wide & first)).select("code", "target_code", "target_name")
+    rest = start.where("start_n > 1").hint("merge").join(ends.where("end_n > 1"), met).where(wide).groupBy("code", "target_code").agg(F.min("best").alias("best"))
+    return once.unionByName(rest.select("code", "target_code", "best.target_name"))
 
 
 def relations(rel: DataFrame, concepts: DataFrame, limit: int = 100) -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from carelake.functions import similarity
-from carelake.operators import fhir, matching
+from carelake.operators import fhir, matching, terminology
 from carelake.plans import catalog
 
 DATA = "/root/testdata/sf0.001"
@@ -123,3 +123,33 @@ def test_match_classification_counts_alike_pairs(spark):
 def test_jaro_is_the_same_from_either_side():
     texts = ["".join(p) for n in range(1, 7) for p in itertools.product("AB", repeat=n)] + ["ABCABDC", "CABDABC", "DCBAABCA", "JOHNSON", "JONES", "MARHTA", "MARTHA"]
     assert all(similarity.jaro_of(a, b) == similarity.jaro_of(b, a) for a, b in itertools.combinations(texts, 2))
+
+
+@pytest.mark.parametrize("listed, wide", [(64, 8192), (64, 3), (2, 8192), (1, 2)])
+def test_crosswalk_of_codes_with_several_concepts(spark, monkeypatch, listed, wide):
+    monkeypatch.setattr(terminology, "LISTED", listed)
+    monkeypatch.setattr(terminology, "WIDE", wide)
+    rows = [(f"u{k * k % 11}", "AB"[k % 2], f"c{k * 7 % (23 if k % 3 else 9)}", None if k % 13 == 0 else f"n{k % 5}", "N" if k % 4 == 0 else "Y", None if k % 7 == 0 else k % 3) for k in range(300)] + [(None, "A", "c1", "x", "Y", 0)] * 2
+    concepts = spark.createDataFrame(rows, "cui string, source string, code string, name string, is_preferred string, rank int")
+    asked = spark.createDataFrame([(f"c{k % 20}",) for k in range(40)], "code string")
+    for source, target in ("AB", "AA"):
+        want = {}
+        for x, y in itertools.product(rows, rows):
+            if x[0] is not None and x[0] == y[0] and x[1] == source and y[1] == target and y[4] == "Y" and int(x[2][1:]) < 20:
+                place = y[3] is None, y[5] is None, y[5] or 0, y[3] or ""  # as arg_min of SQL: no name and no rank come last
+                want[x[2], y[2]] = min(want.get((x[2], y[2]), (place, y[3])), (place, y[3]))
+        got = [tuple(x) for x in terminology.crosswalk(concepts, asked, source, target).collect()]
+        assert len(got) > 100 and sorted(got, key=repr) == sorted(((a, b, name) for (a, b), (_, name) in want.items()), key=repr)
+
+
+def test_crosswalk_deals_a_wide_concept_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(terminology, "WIDE", 100)
+    concepts = spark.range(1000).select(F.when(F.col("id") < 1000, "u").otherwise("v").alias("cui"), F.lit("A").alias("source"), F.concat(F.lit("c"), "id").alias("code"), F.lit("n").alias("name"), F.lit("Y").alias("is_preferred"), F.lit(1).alias("rank"))
+    made = terminology.crosswalk(concepts, concepts.select("code"), "A", "A").groupBy(F.spark_partition_id()).count().collect()
+    assert sum(x["count"] for x in made) == 1_000_000 and len(made) == 4 and max(x["count"] for x in made) < 500_000
+
+
+def test_crosswalk_neither_shuffles_nor_sorts_its_pairs(spark):
+    top = [line.strip(" :+-") for line in plan(catalog.QUERIES["crosswalk_concepts"](spark, DATA)).splitlines()]
+    join = next(n for n, line in enumerate(top) if line.startswith("Join"))
+    assert not [line for line in top[:join] if line.startswith(("Aggregate", "Sort", "Window", "Repartition", "Deduplicate"))]
